@@ -38,8 +38,9 @@ def to_class(score: str | Column, threshold: float = CLASS_THRESHOLD) -> Column:
 
 
 def round_score(score: str | Column, digits: int = SCORE_DIGITS) -> Column:
-    """Round half to even."""
-    return F.bround(score, digits)
+    """Round half to even after scaling, as array libraries do for doubles."""
+    scale = float(10**digits)
+    return F.rint((F.col(score) if isinstance(score, str) else score) * scale) / scale
 
 
 def zero_pad(value: str | Column, width: int = 3) -> Column:
