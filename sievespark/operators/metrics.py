@@ -30,7 +30,7 @@ def ranking(
     levels = df.groupBy(*by, level.alias(score)).agg(
         F.sum(F.col(label).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n")
     )
-    return running_totals(levels, by, F.col(score).desc(), {"tp": "ctp", "n": "cn"}, bounded=digits is not None)
+    return running_totals(levels, by, [F.col(score).desc()], {"tp": "ctp", "n": "cn"}, bounded=digits is not None)
 
 
 def average_precision(df: DataFrame, by: Sequence[str], digits: int | None = None, **cols) -> DataFrame:

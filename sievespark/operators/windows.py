@@ -49,7 +49,7 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Column, values: dict[str, str], bounded: bool = False
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: dict[str, str], bounded: bool = False
 ) -> DataFrame:
     """Running sums within ``by`` in ``order``; ``values`` maps input to output.
 
@@ -58,10 +58,10 @@ def running_totals(
     window is used; otherwise a group may be spread over many tasks.
     """
     if bounded:
-        w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(w).alias(out) for v, out in values.items()])
-    rows = ranged(df, *by, order).drop("_pos")
-    local = W.partitionBy("_pid", *by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = ranged(df, *by, *order).drop("_pos")
+    local = W.partitionBy("_pid", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = rows.select("*", *[F.sum(v).over(local).alias(out) for v, out in values.items()])
     # A group spans consecutive partitions: at most one row per group and partition.
     before = W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)

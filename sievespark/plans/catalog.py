@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import balance, encoding, evaluation, scans  # noqa: F401
+from . import balance, encoding, evaluation, features, nearby, scans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
