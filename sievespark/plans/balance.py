@@ -80,7 +80,7 @@ def union_all(spark, sf_dir):
     where word not in (select {WORDS_SQL} from benchmark)""")
 def difference(spark, sf_dir):
     """Words the benchmark lacks; repeats are kept."""
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(c.tokens("text")).alias("word"))
+    docs = t.texts(spark, sf_dir).select("doc_id", F.explode(c.tokens("text")).alias("word"))
     known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word")).distinct()
     return s.difference(docs, known, ["word"])
 
@@ -94,7 +94,7 @@ def membership_share(spark, sf_dir):
     Counted per document and word before the join, so a frequent word meets the
     benchmark once per document.
     """
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(c.tokens("text")).alias("word"))
+    docs = t.texts(spark, sf_dir).select("doc_id", F.explode(c.tokens("text")).alias("word"))
     known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word")).distinct()
     per = docs.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     flagged = per.join(known.withColumn("_known", F.lit(True)), "word", "left")

@@ -56,7 +56,7 @@ def shared_dictionary(spark, sf_dir):
     from (select distinct {WORDS_SQL} as value from documents)""")
 def dense_index(spark, sf_dir):
     """Ids for all words of all documents: a dictionary that grows with the data."""
-    docs = t.table(spark, sf_dir, "documents").select(c.tokens("text").alias("words"))
+    docs = t.texts(spark, sf_dir).select(c.tokens("text").alias("words"))
     return keys.build_dictionary(docs.select(F.explode("words").alias("value")))
 
 
@@ -196,7 +196,7 @@ def class_share(spark, sf_dir):
     from d left join b on d.word = b.word""")
 def overlap_share(spark, sf_dir):
     """Share of document words the benchmark lacks."""
-    docs = t.table(spark, sf_dir, "documents").select(c.tokens("text").alias("words"))
+    docs = t.texts(spark, sf_dir).select(c.tokens("text").alias("words"))
     known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word"))
     return novel_share(docs.select(F.explode("words").alias("w")), known, ["w"], "word")
 
@@ -300,7 +300,7 @@ def expected_row_count(spark, sf_dir):
     where word not in (select {WORDS_SQL} from benchmark) group by 1""")
 def unknown_values(spark, sf_dir):
     """Document words outside the closed dictionary of benchmark words."""
-    docs = t.table(spark, sf_dir, "documents").select(F.explode(c.tokens("text")).alias("word"))
+    docs = t.texts(spark, sf_dir).select(F.explode(c.tokens("text")).alias("word"))
     known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("value")).distinct()
     return checks.unknown_values(docs, "word", known)
 

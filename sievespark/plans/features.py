@@ -32,7 +32,7 @@ def fingerprint_sql(table: str, key: str, bits: int = 2048) -> str:
 
 @query("f1_fingerprint", fingerprint_sql("documents", "doc_id"))
 def fingerprint(spark, sf_dir):
-    return textfeatures.fingerprint(t.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return textfeatures.fingerprint(t.texts(spark, sf_dir), "doc_id", "text")
 
 
 @query("f1_fingerprint_dense", f"""
@@ -66,7 +66,7 @@ def vocabulary(spark, sf_dir):
     select doc_id, idx, round(count(*) / any_value(n), 6) as mean, 1 as max, count(*) as sum
     from w join v using (value) group by 1, 2""")
 def token_pools(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.texts(spark, sf_dir)
     pools = textfeatures.token_pools(docs, "doc_id", "text", textfeatures.vocabulary(docs, "text"))
     return pools.withColumn("mean", F.round("mean", 6))
 
@@ -81,7 +81,7 @@ def token_pools(spark, sf_dir):
         "words_per_char": "round(len(w) / c, 6)"}.items())} from d""")
 def descriptors(spark, sf_dir):
     found = textfeatures.descriptors("text")
-    return t.table(spark, sf_dir, "documents").select(
+    return t.texts(spark, sf_dir).select(
         "doc_id", *[F.round(v, 6).alias(k) for k, v in found.items()])
 
 
@@ -90,7 +90,7 @@ def descriptors(spark, sf_dir):
            regexp_matches(node, '^[A-Z]') as is_capital
     from (select doc_id, {WORDS_SQL} as node from documents) group by all""")
 def token_nodes(spark, sf_dir):
-    return graphs.token_nodes(t.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return graphs.token_nodes(t.texts(spark, sf_dir), "doc_id", "text")
 
 
 EDGES_SQL = f"""
@@ -104,7 +104,7 @@ EDGES_SQL = f"""
 
 @query("f6_token_edges", EDGES_SQL)
 def token_edges(spark, sf_dir):
-    return graphs.token_edges(t.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return graphs.token_edges(t.texts(spark, sf_dir), "doc_id", "text")
 
 
 @query("f6_relation_edges", """
@@ -132,14 +132,14 @@ def wl_round_sql(i: int) -> str:
     select graph, round, label, count(*) as n from (
       select 0 as round, * from l0 union all select 1, * from l1 union all select 2, * from l2) group by 1, 2, 3""")
 def wl_labels(spark, sf_dir):
-    edges = graphs.token_edges(t.table(spark, sf_dir, "documents"), "doc_id", "text")
+    edges = graphs.token_edges(t.texts(spark, sf_dir), "doc_id", "text")
     return graphs.wl_labels(edges, rounds=2)
 
 
 @query("f7_graph_embeddings")
 def graph_embeddings(spark, sf_dir):
     """One reduced vector per document graph."""
-    edges = graphs.token_edges(t.table(spark, sf_dir, "documents"), "doc_id", "text")
+    edges = graphs.token_edges(t.texts(spark, sf_dir), "doc_id", "text")
     return graphs.graph_embeddings(edges)
 
 
@@ -242,7 +242,7 @@ def entity_features(spark, sf_dir):
 
 @query("f5_sentence_vectors")
 def sentence_vectors(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.texts(spark, sf_dir)
     model = textfeatures.fit_word_vectors(docs, "text")
     return textfeatures.sentence_vectors(docs, "doc_id", "text", model)
 

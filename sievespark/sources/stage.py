@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPREAD_TASKS = 64
+
 _OWN_ROOT: dict[str, str] = {}
 _WRITTEN: list[str] = []
 
@@ -95,3 +97,13 @@ def load_or_fit(spark: SparkSession, path: str, loader, fit: Callable[[], object
 def fits_rows(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; stops counting beyond that."""
     return df.limit(max_rows + 1).select(F.lit(1)).count() <= max_rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a scan of few splits more tasks.
+
+    A table with as many splits as the session has cores passes unchanged, so
+    nothing is shuffled where the input is large. ``scan`` must be a plain scan.
+    """
+    tasks = min(scan.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stage import spread
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -46,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """Key and whole text of a table, on as many tasks as there are cores."""
+    return spread(table(spark, sf_dir, name).select(key, "text"))
+
+
 def label_rule() -> F.Column:
     """1 for the rare positive rows, else 0."""
     return F.when((F.col("l_quantity") >= 45) & (F.col("l_discount") >= 0.095), 1).otherwise(0)
