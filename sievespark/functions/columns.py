@@ -91,3 +91,43 @@ def euclidean(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+
+
+def value_counts(values: Column, name: str = "value", count: str = "n") -> Column:
+    """Distinct values of an array with their counts, as an array of structs.
+
+    Works within the row: sort, find where the value changes, take differences.
+    Counting what one row holds therefore needs no shuffle. Pass a plain column;
+    an expression would be evaluated once per use.
+    """
+    size = F.size(values)
+    slots = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(slots, lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+    # Each entry: (start, next start); the last one ends at the size.
+    ends = F.slice(F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(size)), 1, F.size(starts))
+    return F.zip_with(
+        starts, ends, lambda a, b: F.struct(F.get(values, a).alias(name), (b - a).cast("bigint").alias(count)))
+
+
+def explode_words(df, text: str, *keep: str, name: str = "word"):
+    """One row per word of a text.
+
+    An outer explode with a null test: for a plain explode the optimizer adds a
+    non-empty test below it, which would split every text a second time.
+    """
+    return df.select(*keep, F.explode_outer(tokens(text)).alias(name)).where(F.col(name).isNotNull())
+
+
+def inline_computed(df, structs: str | Column, *keep: str, required: str):
+    """One row per struct of a computed array; outer, for the same reason."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(required).isNotNull())
+
+
+def word_counts(df, key: str, text: str, name: str = "value", count: str = "n", keep_length: str | None = None):
+    """Rows (key, word, count) of a table with one text per key; nothing is shuffled."""
+    words = df.select(key, F.sort_array(tokens(text)).alias("_w"))
+    if keep_length:
+        words = words.withColumn(keep_length, F.size("_w"))
+    keep = [key, keep_length] if keep_length else [key]
+    counted = words.select(*keep, value_counts(F.col("_w"), name, count).alias("_c"))
+    return inline_computed(counted, "_c", *keep, required=name)

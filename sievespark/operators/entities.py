@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables as t
 from .keys import build_dictionary, distinct_values, encode
+from .windows import dense_index
 
 
 def consolidate(
@@ -36,6 +37,15 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: dict[str, str], name:
     return df.select(*keys, F.inline(pairs))
 
 
+def numbered_observations(spark, sf_dir: str, *cols: str) -> DataFrame:
+    """Some columns of the observations with a dense ``id`` in row order.
+
+    Only these and the order columns are shuffled, and only these are written.
+    """
+    rows = t.observations(spark, sf_dir, t.ROW_ORDER).select(*cols, *t.ROW_ORDER)
+    return dense_index(rows, t.ROW_ORDER, "id", keep=cols)
+
+
 def dictionary(spark, sf_dir: str) -> DataFrame:
     """The shared dictionary of all block strings of the observations."""
     return build_dictionary(distinct_values(t.observations(spark, sf_dir), t.BLOCKS))

@@ -118,22 +118,22 @@ def minhash_codes(sets: DataFrame, trees: int, hashes: int) -> DataFrame:
 
 
 def best_matches(
-    queries: DataFrame, context: DataFrame, trees: int = 8, hashes: int = 3, width: int = 4, threshold: float = 0.0,
+    queries: DataFrame, context: DataFrame, trees: int = 8, hashes: int = 3, width: int = 2, threshold: float = 0.0,
 ) -> DataFrame:
     """Approximate best Jaccard match of every query, with the exact coefficient.
 
-    Both tables are (id, bit) rows. Rows next to each other in an order by MinHash
+    Both tables are distinct (id, bit) rows. Rows next to each other in an order by MinHash
     minima are compared, so no bucket is ever expanded. The shared bits of the
     candidate pairs are counted by joins and a partial aggregate.
     """
-    queries, context = (materialize(d.select("id", "bit").distinct(), "sets") for d in (queries, context))
+    queries, context = (materialize(d.select("id", "bit"), "sets") for d in (queries, context))
     order = [f"code{j}" for j in range(hashes)]
     pairs = materialize(adjacent_in_order(
         minhash_codes(context, trees, hashes), minhash_codes(queries, trees, hashes), order, width), "pairs")
     sizes = [d.groupBy("id").agg(F.count(F.lit(1)).alias("n")) for d in (queries, context)]
-    left = pairs.join(queries.withColumnRenamed("id", "query_id"), "query_id")
-    right = context.withColumnRenamed("id", "context_id")
-    shared = left.join(right, ["context_id", "bit"]).groupBy("query_id", "context_id").agg(F.count(F.lit(1)).alias("c"))
+    # A pair is spread over the bits of its context row, then met with the query's bits.
+    spread_out = pairs.join(context.withColumnRenamed("id", "context_id"), "context_id")
+    shared = spread_out.join(queries.withColumnRenamed("id", "query_id"), ["query_id", "bit"]).groupBy("query_id", "context_id").agg(F.count(F.lit(1)).alias("c"))
     known = shared.join(sizes[0].select(F.col("id").alias("query_id"), F.col("n").alias("a")), "query_id").join(
         sizes[1].select(F.col("id").alias("context_id"), F.col("n").alias("b")), "context_id")
     scored = known.withColumn("jaccard", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).where(F.col("jaccard") >= threshold)

@@ -11,7 +11,9 @@ from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_number, ratio, tokens
+from ..functions.columns import (
+    explode_words, hash_number, inline_computed, ratio, tokens, value_counts, word_counts,
+)
 from .keys import build_dictionary
 
 # Fingerprint width, neighbourhood radius, value for unusable input.
@@ -28,41 +30,50 @@ def grams(words: Column, size: int) -> Column:
     return F.slice(joined, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
 
 
+def hashed_grams(df: DataFrame, key: str, text: str, bits: int, radius: int, out: str) -> DataFrame:
+    """Buckets of all word runs of length 1 to radius + 1 per text, with repeats.
+
+    Words become a column first: inside the lambdas they are looked up by position.
+    """
+    words = df.select(key, tokens(text).alias("_w"))
+    runs = F.concat(*[grams(F.col("_w"), s) for s in range(1, radius + 2)])
+    return words.select(
+        key, F.transform(runs, lambda g: F.pmod(hash_number(F.md5(g)), F.lit(bits)).cast("int")).alias(out))
+
+
+def bucket_counts(df: DataFrame, key: str, text: str, bits: int, radius: int) -> DataFrame:
+    """Per text, an array of (bucket, n); counted within the row."""
+    hashed = hashed_grams(df, key, text, bits, radius, "_g").select(key, F.sort_array("_g").alias("_b"))
+    return hashed.select(key, value_counts(F.col("_b"), "bucket", "n").alias("counts"))
+
+
 def fingerprint(
     df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS, radius: int = FINGERPRINT_RADIUS
 ) -> DataFrame:
-    """Hashed counts of word runs of length 1 to radius + 1, as (key, bucket, n)."""
-    words = df.select(key, tokens(text).alias("_w"))
-    runs = F.concat(*[grams(F.col("_w"), s) for s in range(1, radius + 2)])
-    hashed = words.select(key, F.explode(runs).alias("_g")).select(
-        key, F.pmod(hash_number(F.md5("_g")), F.lit(bits)).cast("int").alias("bucket")
-    )
-    return hashed.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Hashed counts of word runs, as (key, bucket, n); one text per key, nothing is shuffled."""
+    return inline_computed(bucket_counts(df, key, text, bits, radius), "counts", key, required="bucket")
 
 
 def fingerprint_dense(df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS,
                       radius: int = FINGERPRINT_RADIUS) -> DataFrame:
-    """Presence bits followed by counts; a list of -1 for a text without words.
-
-    At most ``bits`` buckets are collected per text.
-    """
-    sparse = fingerprint(df, key, text, bits, radius).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_m"))
+    """Presence bits followed by counts; a list of -1 for a text without words."""
+    counted = bucket_counts(df, key, text, bits, radius).select(key, F.map_from_entries("counts").alias("_m"))
     slots = F.sequence(F.lit(0), F.lit(bits - 1))
-    counts = F.transform(slots, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("int"))
-    present = F.transform(counts, lambda n: (n > 0).cast("int"))
-    dense = F.when(F.col("_m").isNull(), F.array_repeat(F.lit(INVALID), 2 * bits)).otherwise(F.concat(present, counts))
-    return df.select(key).join(sparse, key, "left").select(key, dense.alias("fingerprint"))
+    counts = counted.select(
+        key, F.transform(slots, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("int")).alias("_c"), "_m")
+    present = F.transform("_c", lambda n: (n > 0).cast("int"))
+    dense = F.when(F.size("_m") == 0, F.array_repeat(F.lit(INVALID), 2 * bits)).otherwise(F.concat(present, F.col("_c")))
+    return counts.select(key, dense.alias("fingerprint"))
 
 
-def bit_sets(sparse: DataFrame, key: str) -> DataFrame:
-    """The set bits of each fingerprint; at most its width."""
-    return sparse.groupBy(key).agg(F.collect_set("bucket").alias("bits"))
+def bit_sets(df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS, radius: int = FINGERPRINT_RADIUS) -> DataFrame:
+    """The set bits of each text's fingerprint, at most its width; empty without words."""
+    return hashed_grams(df, key, text, bits, radius, "_g").select(key, F.array_distinct("_g").alias("bits"))
 
 
 def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
     """Distinct words with dense ids in word order."""
-    words = df.select(F.explode(tokens(text)).alias("value"))
+    words = explode_words(df, text, name="value")
     if min_count > 1:
         words = words.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
     return build_dictionary(words.select("value"))
@@ -74,8 +85,7 @@ def token_pools(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFra
     Words are counted per text before the dictionary join, so a word in every
     text meets its dictionary row once per text; lengths count all words.
     """
-    words = df.select(key, tokens(text).alias("_w")).select(key, F.size("_w").alias("_len"), F.explode("_w").alias("value"))
-    per = words.groupBy(key, "_len", "value").agg(F.count(F.lit(1)).alias("sum"))
+    per = word_counts(df, key, text, "value", "sum", keep_length="_len")
     return per.join(vocab, "value").select(
         key, "idx", (F.col("sum") / F.col("_len")).alias("mean"), F.lit(1).alias("max"), "sum")
 
@@ -111,8 +121,7 @@ def sentence_vectors(df: DataFrame, key: str, text: str, model: Word2VecModel) -
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    words = df.select(key, F.explode(tokens(text)).alias("word"))
-    per = words.groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    per = word_counts(df, key, text, "word", "_n").withColumn("_n", F.col("_n").cast("double"))
     found = per.join(model.getVectors(), "word")
     metrics = ("mean", "max", "sum")
     pooled = found.groupBy(key).agg(Summarizer.metrics(*metrics).summary(F.col("vector"), F.col("_n")).alias("_s"))
@@ -120,6 +129,6 @@ def sentence_vectors(df: DataFrame, key: str, text: str, model: Word2VecModel) -
 
 
 __all__ = [
-    "bit_sets", "descriptors", "fingerprint", "fingerprint_dense", "fit_word_vectors", "grams",
+    "bit_sets", "descriptors", "fingerprint", "fingerprint_dense", "fit_word_vectors", "grams", "hashed_grams",
     "sentence_vectors", "token_pools", "vocabulary",
 ]

@@ -19,10 +19,11 @@ from ..sources.stage import materialize
 _LOCAL_POSITION_BITS = (1 << 33) - 1
 
 
-def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+def ranged(df: DataFrame, *order: str | Column, keep: Sequence[str] | None = None) -> DataFrame:
     """A written copy in range order with partition number and local position.
 
     Both are stored as data, so later passes cannot see another partitioning.
+    ``keep`` names the columns to write; the order columns may be left out.
     """
     placed = (
         df.repartitionByRange(*order)
@@ -30,12 +31,14 @@ def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_POSITION_BITS)))
     )
-    return materialize(placed, "ranged")
+    return materialize(placed if keep is None else placed.select(*keep, "_pid", "_pos"), "ranged")
 
 
-def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
-    """Number the rows 0, 1, 2, ... in the given (total) order."""
-    rows = ranged(df, *order)
+def dense_index(
+    df: DataFrame, order: Sequence[str | Column], name: str = "idx", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Number the rows 0, 1, 2, ... in the given (total) order; ``keep`` narrows the output."""
+    rows = ranged(df, *order, keep=keep)
     # One row per partition, so this window is bounded by the partition count.
     before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows")).select(
@@ -89,4 +92,4 @@ def permutation(df: DataFrame, key: str, seed: int, name: str = "position") -> D
     """A reproducible random order of the rows, as a position column."""
     from ..functions.columns import key_hash
 
-    return dense_index(df.withColumn("_h", key_hash(key, seed=seed)), ["_h"], name).drop("_h")
+    return dense_index(df.withColumn("_h", key_hash(key, seed=seed)), ["_h"], name, keep=df.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import sampling as s
 from ..operators import splits, windows
-from ..operators.entities import dictionary, entities
+from ..operators.entities import dictionary, entities, numbered_observations
 from ..sources import tables as t
 from .encoding import WORDS_SQL
 from .registry import query
@@ -80,8 +80,8 @@ def union_all(spark, sf_dir):
     where word not in (select {WORDS_SQL} from benchmark)""")
 def difference(spark, sf_dir):
     """Words the benchmark lacks; repeats are kept."""
-    docs = t.texts(spark, sf_dir).select("doc_id", F.explode(c.tokens("text")).alias("word"))
-    known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word")).distinct()
+    docs = c.explode_words(t.texts(spark, sf_dir), "text", "doc_id")
+    known = c.explode_words(t.table(spark, sf_dir, "benchmark"), "text").distinct()
     return s.difference(docs, known, ["word"])
 
 
@@ -94,9 +94,8 @@ def membership_share(spark, sf_dir):
     Counted per document and word before the join, so a frequent word meets the
     benchmark once per document.
     """
-    docs = t.texts(spark, sf_dir).select("doc_id", F.explode(c.tokens("text")).alias("word"))
-    known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word")).distinct()
-    per = docs.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = c.explode_words(t.table(spark, sf_dir, "benchmark"), "text").distinct()
+    per = c.word_counts(t.texts(spark, sf_dir), "doc_id", "text", "word", "n")
     flagged = per.join(known.withColumn("_known", F.lit(True)), "word", "left")
     hits = F.sum(F.when(F.col("_known"), F.col("n")).otherwise(0))
     return flagged.groupBy("doc_id").agg(
@@ -127,7 +126,7 @@ def undersample(spark, sf_dir):
     "obs")
 def undersample_rows(spark, sf_dir):
     """On the rare positives of the raw rows the sample is a small share."""
-    rows = windows.dense_index(t.observations(spark, sf_dir, t.ROW_ORDER), t.ROW_ORDER, "id").select("id", "label")
+    rows = numbered_observations(spark, sf_dir, "label")
     return s.undersample(rows, F.col("label") == 1, "id", 9, seed=7)
 
 

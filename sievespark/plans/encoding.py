@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import checks, joins, keys, pooling, sampling, windows
-from ..operators.entities import consolidate, dictionary, entities
+from ..operators import checks, joins, keys, pooling, sampling
+from ..operators.entities import consolidate, dictionary, entities, numbered_observations
 from ..operators.splits import hold_out, novel_share, tag_shared
 from ..sources import tables as t
 from ..sources.stage import materialize
@@ -56,8 +56,7 @@ def shared_dictionary(spark, sf_dir):
     from (select distinct {WORDS_SQL} as value from documents)""")
 def dense_index(spark, sf_dir):
     """Ids for all words of all documents: a dictionary that grows with the data."""
-    docs = t.texts(spark, sf_dir).select(c.tokens("text").alias("words"))
-    return keys.build_dictionary(docs.select(F.explode("words").alias("value")))
+    return keys.build_dictionary(c.explode_words(t.texts(spark, sf_dir), "text", name="value"))
 
 
 @query("k5_entity_ids", """
@@ -75,7 +74,7 @@ def entity_ids(spark, sf_dir):
       select row_number() over (order by b1, b2, b3) - 1 as entity_id, b1, b2, b3
       from (select distinct b1, b2, b3 from obs)) e using (b1, b2, b3)""", "obs")
 def bridge(spark, sf_dir):
-    rows = windows.dense_index(t.observations(spark, sf_dir, t.ROW_ORDER), t.ROW_ORDER, "id")
+    rows = numbered_observations(spark, sf_dir, *t.BLOCKS)
     found = keys.entity_ids([rows.select(*t.BLOCKS)], t.BLOCKS)
     linked = materialize(keys.bridge(rows, found, t.BLOCKS, ["id"]), "bridge")
     checks.require(checks.null_counts(linked, "entity_id"), null_entity_id=0)
@@ -196,9 +195,9 @@ def class_share(spark, sf_dir):
     from d left join b on d.word = b.word""")
 def overlap_share(spark, sf_dir):
     """Share of document words the benchmark lacks."""
-    docs = t.texts(spark, sf_dir).select(c.tokens("text").alias("words"))
-    known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("word"))
-    return novel_share(docs.select(F.explode("words").alias("w")), known, ["w"], "word")
+    docs = c.explode_words(t.texts(spark, sf_dir), "text", name="w")
+    known = c.explode_words(t.table(spark, sf_dir, "benchmark"), "text")
+    return novel_share(docs, known, ["w"], "word")
 
 
 @query("a4_frequency_table", "select l_suppkey as value, count(*) as n from lineitem group by 1 order by 2 desc, 1")
@@ -300,8 +299,8 @@ def expected_row_count(spark, sf_dir):
     where word not in (select {WORDS_SQL} from benchmark) group by 1""")
 def unknown_values(spark, sf_dir):
     """Document words outside the closed dictionary of benchmark words."""
-    docs = t.texts(spark, sf_dir).select(F.explode(c.tokens("text")).alias("word"))
-    known = t.table(spark, sf_dir, "benchmark").select(F.explode(c.tokens("text")).alias("value")).distinct()
+    docs = c.explode_words(t.texts(spark, sf_dir), "text")
+    known = c.explode_words(t.table(spark, sf_dir, "benchmark"), "text", name="value").distinct()
     return checks.unknown_values(docs, "word", known)
 
 

@@ -141,14 +141,13 @@ def ensemble(spark, sf_dir):
       else (s1 + s2) / 2 end, 3) as score from obs join scores on entity = entity_id)""", "obs dict ent")
 def scored_output(spark, sf_dir):
     """Scores by entity and group, joined to every observation, checked, rounded, sorted."""
-    from ..operators.entities import entities
-    from ..operators.windows import dense_index
+    from ..operators.entities import entities, numbered_observations
     from ..sources.stage import materialize
 
     one, two = hash_score("entity_id", 1), hash_score("entity_id", 2)
     predicted = entities(spark, sf_dir).select(
         "entity_id", one.alias("score_a"), two.alias("score_n"), ((one + two) / 2).alias("score_r"))
-    rows = dense_index(t.observations(spark, sf_dir, t.ROW_ORDER), t.ROW_ORDER, "id")
+    rows = numbered_observations(spark, sf_dir, "entity", "grp")
     wanted = rows.select("id", F.col("entity").alias("entity_id"), "grp")
     columns = dict(zip(t.GROUPS, ("score_a", "score_n", "score_r")))
     out = materialize(scoring.scored_output(wanted, predicted, columns), "scored-output")

@@ -8,6 +8,7 @@ from ..functions import columns as c
 from ..operators import checks, sampling
 from ..operators.entities import dictionary, entities, long_form
 from ..operators.keys import encode
+from ..operators.windows import dense_index
 from ..sources import tables as t
 from ..sources.stage import new_path
 from .registry import query
@@ -156,7 +157,7 @@ def flatten(spark, sf_dir):
     """Lines to words to one flat list of words per document."""
     lines = F.transform(F.split("text", "\n"), lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
     flat = t.table(spark, sf_dir, "documents").select("doc_id", F.flatten(lines).alias("words"))
-    return flat.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    return flat.select("doc_id", F.posexplode_outer("words").alias("pos", "word")).where(F.col("pos").isNotNull())
 
 
 @query("p12_zero_pad", """
@@ -238,9 +239,8 @@ def sub_tables(spark, sf_dir):
     from obs o join dict d1 on b1 = d1.value join dict d2 on b2 = d2.value join dict d3 on b3 = d3.value""",
     "obs dict")
 def encode_blocks(spark, sf_dir):
-    from ..operators.windows import dense_index
-
-    rows = dense_index(t.observations(spark, sf_dir, t.ROW_ORDER), t.ROW_ORDER, "id")
+    """Strings are replaced first, so numbering sorts narrow rows."""
     blocks = dictionary(spark, sf_dir)
-    coded = encode(rows.select("id", "grp", "label", *t.BLOCKS), blocks, dict(zip(t.BLOCKS, t.BLOCK_IDS)))
-    return coded.select("id", "grp", "label", *t.BLOCK_IDS)
+    rows = t.observations(spark, sf_dir, t.ROW_ORDER)
+    coded = encode(rows, blocks, dict(zip(t.BLOCKS, t.BLOCK_IDS)))
+    return dense_index(coded, t.ROW_ORDER, "id", keep=["grp", "label", *t.BLOCK_IDS])
