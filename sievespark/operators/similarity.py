@@ -118,7 +118,7 @@ def minhash_codes(sets: DataFrame, trees: int, hashes: int) -> DataFrame:
 
 
 def best_matches(
-    queries: DataFrame, context: DataFrame, trees: int = 8, hashes: int = 3, width: int = 2, threshold: float = 0.0,
+    queries: DataFrame, context: DataFrame, trees: int = 8, hashes: int = 3, width: int = 1, threshold: float = 0.0,
 ) -> DataFrame:
     """Approximate best Jaccard match of every query, with the exact coefficient.
 
