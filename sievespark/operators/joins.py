@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import any_true
+
 
 def star_features(
     df: DataFrame, features: DataFrame, cols: Sequence[str], keep: Sequence[str], concat: bool = True
@@ -48,9 +49,23 @@ def anti_each(df: DataFrame, keys: DataFrame, cols: Sequence[str], key: str) ->
     return df
 
 
+def flag_any(df: DataFrame, keys: DataFrame, cols: Sequence[str], key: str, flag: str) -> DataFrame:
+    """Add a flag: is any of the columns in the key list?
+
+    One outer join per column against the distinct keys. Where the keys are too
+    many to broadcast, adaptive execution can split the rows of a frequent value,
+    which it cannot for existence joins.
+    """
+    known = keys.select(F.col(key).alias("_key")).distinct()
+    for i, c in enumerate(cols):
+        df = df.join(known.withColumn(f"_hit{i}", F.lit(True)), F.col(c) == F.col("_key"), "left").drop("_key")
+    hits = [f"_hit{i}" for i in range(len(cols))]
+    return df.withColumn(flag, any_true(hits)).drop(*hits)
+
+
 def semi_any(df: DataFrame, keys: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Rows any of whose columns is in the key list (one existence join each)."""
-    return df.where(reduce(lambda a, b: a | b, [F.col(c).isin(keys.select(key)) for c in cols]))
+    """Rows any of whose columns is in the key list."""
+    return flag_any(df, keys, cols, key, "_any").where("_any").drop("_any")
 
 
 def aligned(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

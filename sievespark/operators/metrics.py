@@ -55,16 +55,12 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), digits: int | None = None, **
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), digits: int | None = None, **cols) -> DataFrame:
     """False and true positive rate at every distinct score."""
-    ranked = ranking(df, by, digits=digits, **cols)
-    score = cols.get("score", "score")
-    totals = ranked.groupBy(*by).agg(
-        F.sum("tp").alias("_p"), F.sum(F.col("n") - F.col("tp")).alias("_n"), F.count(F.lit(1)).alias("_levels")
-    )
-    # One row per group; grouping columns are few or the join shuffles on them.
-    joined = ranked.join(totals, list(by)) if by else ranked.join(F.broadcast(totals))
-    return joined.select(
+    keys = list(by) or ["_all"]
+    ranked = ranking(df if by else df.withColumn("_all", F.lit(1)), keys, digits=digits, **cols)
+    totals = ranked.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum(F.col("n") - F.col("tp")).alias("_n"))
+    return ranked.join(totals, keys).select(
         *by,
-        F.col(score).alias("threshold"),
+        F.col(cols.get("score", "score")).alias("threshold"),
         F.try_divide((F.col("cn") - F.col("ctp")).cast("double"), F.col("_n")).alias("fpr"),
         F.try_divide(F.col("ctp").cast("double"), F.col("_p")).alias("tpr"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPLIT_SEED, key_hash
+from .joins import flag_any
 from .sampling import hash_cut
 
 
@@ -51,8 +52,8 @@ def split_strict(entities: DataFrame, cols: Sequence[str], cut: str, seed: int =
 
 def tag_shared(entities: DataFrame, cols: Sequence[str], distinct_blocks: DataFrame, key: str = "idx") -> DataFrame:
     """Tag rows that use any block of a list as ``nonshared``, the others ``shared``."""
-    hit = reduce(lambda a, b: a | b, [F.col(c).isin(distinct_blocks.select(key)) for c in cols])
-    return entities.withColumn("split_group", F.when(hit, "nonshared").otherwise("shared"))
+    flagged = flag_any(entities, distinct_blocks, cols, key, "_hit")
+    return flagged.withColumn("split_group", F.when(F.col("_hit"), "nonshared").otherwise("shared")).drop("_hit")
 
 
 def split_report(split: DataFrame, labels: Sequence[str], groups: Sequence[str]) -> DataFrame:

@@ -79,6 +79,12 @@ def running_totals(
     )
 
 
+def row_number_in(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "n") -> DataFrame:
+    """Position 1, 2, ... within groups of any size, in a total order."""
+    counted = running_totals(df.withColumn("_one", F.lit(1)), by, order, {"_one": name})
+    return counted.drop("_one").withColumn(name, F.col(name).cast("int"))
+
+
 def row_ranges(df: DataFrame, order: Sequence[str | Column], parts: int, name: str = "part") -> DataFrame:
     """Split a table into equal row ranges: floor(position / rows * parts)."""
     numbered = dense_index(df, order, "_row")

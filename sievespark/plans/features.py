@@ -168,6 +168,34 @@ def standardise(spark, sf_dir):
     return explode_vector(scaled, ["vec_id"], "embedding").withColumn("value", F.round("value", 5))
 
 
+@query("s11_saved_transformer", f"""
+    with e as ({VALUES_SQL}), s as (select pos, avg(v) as m, stddev_pop(v) as d from e group by 1)
+    select vec_id, pos::int as pos, round((v - m) / d, 5) as value from e join s using (pos)""")
+def saved_transformer(spark, sf_dir):
+    """A fitted scaler is saved, reloaded and applied."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from ..sources.stage import load_or_fit
+
+    rows = reduce.as_vector(t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    width = rows.select(F.size("embedding")).head()[0]
+    stages = reduce.scaler(rows.count(), width, "_x", "_scaled")
+    model = load_or_fit(spark, new_path(spark, "scaler"), PipelineModel, lambda: Pipeline(stages=stages).fit(rows))
+    scaled = model.transform(rows).select("vec_id", vector_to_array("_scaled").alias("v"))
+    return explode_vector(scaled, ["vec_id"], "v").withColumn("value", F.round("value", 5))
+
+
+@query("p10_scale_to_int8", """
+    with s as (select 127 / max(list_max(list_transform(embedding, lambda x: abs(x::double)))) as k from embeddings)
+    select vec_id, array_to_string(list_transform(embedding, lambda x:
+           least(greatest(trunc(x::double * k), -128), 127)::int), ',') as quantised from embeddings, s""")
+def scale_to_int8(spark, sf_dir):
+    """Scaled so that the largest absolute value becomes 127."""
+    rows = t.table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", as_text(reduce.quantise("embedding", reduce.full_scale(rows, "embedding"))).alias("quantised"))
+
+
 @query("f10_normalise", f"""
     with e as (select vec_id, pos, v + pos / 100.0::double as v from ({VALUES_SQL})),
     n as (select vec_id, sqrt(sum(v * v)) as n from e group by 1)
