@@ -57,16 +57,17 @@ def classification(spark, sf_dir):
 
 @query("x4_auc_gini", f"""
     select grp, round(auc, 6) as auc, round(2 * auc - 1, 6) as gini from (with {LEVELS.format(by='grp')}
-    select grp, sum((n - tp) * (ctp - tp / 2)) / (sum(tp) * sum(n - tp)) as auc from rk group by 1)""", "scored")
+    select grp, sum((n - tp) * (ctp - tp / 2)) / nullif(sum(tp) * sum(n - tp), 0) as auc from rk group by 1)""", "scored")
 def auc_gini(spark, sf_dir):
+    """Undefined, so null, for a group with one class only."""
     out = metrics.roc_auc(t.scored(spark, sf_dir), ["grp"])
     return out.select("grp", F.round("auc", 6).alias("auc"), F.round("gini", 6).alias("gini"))
 
 
 @query("x5_roc_points", f"""
     select * from (with {LEVELS.format(by='grp')}
-    select grp, score as threshold, round((cn - ctp) / sum(n - tp) over (partition by grp), 6) as fpr,
-           round(ctp / sum(tp) over (partition by grp), 6) as tpr from rk)""", "scored")
+    select grp, score as threshold, round((cn - ctp) / nullif(sum(n - tp) over (partition by grp), 0), 6) as fpr,
+           round(ctp / nullif(sum(tp) over (partition by grp), 0), 6) as tpr from rk)""", "scored")
 def roc_points(spark, sf_dir):
     out = metrics.roc_points(t.scored(spark, sf_dir), ["grp"])
     return out.select("grp", "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
