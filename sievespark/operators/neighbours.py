@@ -43,6 +43,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """One column per pivot; one pivot at a time keeps the memory at a batch."""
+    return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
 def top_k(query_ids, queries, context_ids, context, k: int) -> pd.DataFrame:
     """The k nearest context rows of every query, ties by id.
 
@@ -101,7 +106,7 @@ def _cell_join(queries: DataFrame, context: DataFrame, k: int, pivots: int, bloc
             if not len(b):
                 continue
             v = _matrix(b["vec"])
-            d = np.sqrt(((v[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+            d = _pivot_distances(v, c)
             cell = d.argmin(axis=1)
             yield b.assign(cell=cell.astype("int32"), radius=d[np.arange(len(v)), cell])
 
@@ -119,7 +124,7 @@ def _cell_join(queries: DataFrame, context: DataFrame, k: int, pivots: int, bloc
             if not len(b):
                 continue
             v = _matrix(b["vec"])
-            d = np.sqrt(((v[:, None, :] - c[None, i["cell"], :]) ** 2).sum(axis=2))
+            d = _pivot_distances(v, c[i["cell"]])
             # k rows are no farther than this: through the pivot of a cell that has k.
             bound = np.where(i["have"] >= k, d + i["kth"], np.inf).min(axis=1)
             nearest = d.min(axis=1)
