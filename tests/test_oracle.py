@@ -5,7 +5,7 @@ from check_oracle import compare, connect
 
 from sievespark.plans.catalog import ORACLES, QUERIES
 
-# Fitted models are covered by the property tests; m5 and m11 run there too.
+# Slow fits; tools/check_oracle.py runs them.
 SLOW = {"m4_network_targets", "m1_boosted_per_group", "m2_boosted_all_rows", "m11_fit_validate_predict"}
 
 
