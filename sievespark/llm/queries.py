@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import quality
+from . import language, pii, quality
 
 QUERIES = {
+    "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op6_line_frequency": quality.op6_line_frequency,
+    "op8_family_then_svm": language.op8_family_then_svm,
 }
 
 ORACLES = {
