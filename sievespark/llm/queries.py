@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import language, pii, quality
+from . import language, packing, pii, quality
 
 QUERIES = {
     "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op6_line_frequency": quality.op6_line_frequency,
+    "op7_multi_length": packing.op7_multi_length,
     "op8_family_then_svm": language.op8_family_then_svm,
 }
 
