@@ -1,12 +1,13 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import language, packing, pii, quality
+from . import ans, language, packing, pii, quality
 
 QUERIES = {
     "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op6_line_frequency": quality.op6_line_frequency,
     "op7_multi_length": packing.op7_multi_length,
     "op8_family_then_svm": language.op8_family_then_svm,
+    "op10_interleaved_rans": ans.op10_interleaved_rans,
 }
 
 ORACLES = {
