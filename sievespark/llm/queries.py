@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import ans, language, packing, pii, quality
+from . import ans, language, packing, pii, quality, simhash
 
 QUERIES = {
     "op2_candidate_boosting": pii.op2_candidate_boosting,
+    "op3_pivot_tables": simhash.op3_pivot_tables,
     "op6_line_frequency": quality.op6_line_frequency,
     "op7_multi_length": packing.op7_multi_length,
     "op8_family_then_svm": language.op8_family_then_svm,
@@ -11,5 +12,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_pivot_tables": simhash.op3_pivot_tables,
     "op6_line_frequency": quality.OP6_SQL,
 }
