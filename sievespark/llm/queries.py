@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import ans, language, packing, pii, quality, simhash
+from . import ans, decontam, language, packing, pii, quality, simhash
 
 QUERIES = {
     "op2_candidate_boosting": pii.op2_candidate_boosting,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_line_frequency": quality.op6_line_frequency,
     "op7_multi_length": packing.op7_multi_length,
     "op8_family_then_svm": language.op8_family_then_svm,
+    "op9_spaced_seeds": decontam.op9_spaced_seeds,
     "op10_interleaved_rans": ans.op10_interleaved_rans,
 }
 
