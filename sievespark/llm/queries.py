@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import ans, decontam, language, packing, pii, quality, simhash
+from . import ans, decontam, language, packing, pii, quality, simhash, substring
 
 QUERIES = {
+    "op1_recompression": substring.op1_recompression,
     "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op3_pivot_tables": simhash.op3_pivot_tables,
     "op6_line_frequency": quality.op6_line_frequency,
