@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import ans, decontam, language, packing, pii, quality, simhash, substring
+from . import ans, decontam, language, packing, pii, quality, scoring, simhash, substring
 
 QUERIES = {
     "op1_recompression": substring.op1_recompression,
     "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op3_pivot_tables": simhash.op3_pivot_tables,
+    "op5_deleted_interpolation": scoring.op5_deleted_interpolation,
     "op6_line_frequency": quality.op6_line_frequency,
     "op7_multi_length": packing.op7_multi_length,
     "op8_family_then_svm": language.op8_family_then_svm,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_pivot_tables": simhash.op3_pivot_tables,
+    "op5_deleted_interpolation": scoring.op5_deleted_interpolation,
     "op6_line_frequency": quality.OP6_SQL,
 }
