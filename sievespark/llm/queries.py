@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from . import ans, decontam, language, packing, pii, quality, scoring, simhash, substring
+from . import ans, decontam, fuzzy_lines, language, packing, pii, quality, scoring, simhash, substring
 
 QUERIES = {
     "op1_recompression": substring.op1_recompression,
     "op2_candidate_boosting": pii.op2_candidate_boosting,
     "op3_pivot_tables": simhash.op3_pivot_tables,
+    "op4_fuzzy_lines": fuzzy_lines.op4_fuzzy_lines,
     "op5_deleted_interpolation": scoring.op5_deleted_interpolation,
     "op6_line_frequency": quality.op6_line_frequency,
     "op7_multi_length": packing.op7_multi_length,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_pivot_tables": simhash.op3_pivot_tables,
+    "op4_fuzzy_lines": fuzzy_lines.op4_fuzzy_lines,
     "op5_deleted_interpolation": scoring.op5_deleted_interpolation,
     "op6_line_frequency": quality.OP6_SQL,
 }
