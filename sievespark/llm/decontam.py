@@ -162,6 +162,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *keep: str, block_chars: i
     return found
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which no benchmark item is found."""
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(
+        "_check", F.xxhash64(F.coalesce("text", F.lit("")))
+    )
+    plain = own.select("_doc", "_check", F.coalesce("text", F.lit("")).alias("text"))
+    hit = find_items(plain, benchmark, "_doc", "_check").select("_doc", "_check").distinct()
+    return own.join(hit, ["_doc", "_check"], "left_anti").drop("_doc", "_check")
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that stands in a document, in order of neither."""
     docs = documents(spark, sf_dir)

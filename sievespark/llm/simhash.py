@@ -74,14 +74,14 @@ def pivot_table(prints: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+    """``doc_id``, ``check`` (a hash of the text) and ``fp`` (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["check"], pa.array(fps.view(np.int64))], ["doc_id", "check", "fp"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return with_text(docs).withColumn("check", F.xxhash64("text")).mapInArrow(run, "doc_id long, check long, fp long")
 
 
 def block_masks() -> list[int]:
@@ -166,7 +166,7 @@ def links(distinct: DataFrame, hot: int = HOT, group_rows: int = GROUP_ROWS) ->
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row."""
+    """``doc_id``, ``check``, ``fp``, ``label`` (a number of the component) and ``component_id`` of every row."""
     prints = materialize(fingerprints(docs), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     labels = components(links(distinct))
@@ -174,10 +174,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "rep", F.coalesce("label", "fp").alias("label")
     )
     smallest = marked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_print = materialize(marked.join(smallest, "label").select("fp", "component_id"), "simhash-labels")
+    of_print = materialize(marked.join(smallest, "label").select("fp", "label", "component_id"), "simhash-labels")
     return prints.join(of_print, "fp")
 
 
+def keep_first_documents(docs: DataFrame) -> DataFrame:
+    """One row of each component: the one with the smallest id (nulls last), then the smallest hash of the text."""
+    last = F.lit((1 << 63) - 1)
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn(
+        "_check", F.xxhash64(F.coalesce("text", F.lit("")))
+    )
+    first = near_duplicates(docs).groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_doc"), F.col("check").alias("_check"))).alias("k"))
+    return own.join(first.select("k.*"), ["_doc", "_check"], "left_semi").dropDuplicates(["_doc", "_check"]).drop("_doc", "_check")
+
+
 def op3_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(documents(spark, sf_dir))
