@@ -157,7 +157,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *keep: str, block_chars: i
                 cols += [pa.array([h[i] for h in hits], pa.int64()) for i in range(1, 5)]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *[c.split()[0] for c in out.split(", ")]])
 
-        part = docs.select(*keep, "text").mapInArrow(run, schema)
+        part = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     return found
 
@@ -167,8 +167,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(
         "_check", F.xxhash64(F.coalesce("text", F.lit("")))
     )
-    plain = own.select("_doc", "_check", F.coalesce("text", F.lit("")).alias("text"))
-    hit = find_items(plain, benchmark, "_doc", "_check").select("_doc", "_check").distinct()
+    hit = find_items(own, benchmark, "_doc", "_check").select("_doc", "_check").distinct()
     return own.join(hit, ["_doc", "_check"], "left_anti").drop("_doc", "_check")
 
 
