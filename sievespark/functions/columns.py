@@ -17,9 +17,9 @@ CLASS_THRESHOLD = 0.5
 
 
 def key_hash(*keys: str | Column, seed: int | str = 0) -> Column:
-    """32 hex digits of the keys and a seed: a reproducible random order."""
+    """32 hex digits of the keys and a seed: a reproducible random order. A missing key counts as a value of its own."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols], F.lit(str(seed))))
 
 
 def hash_number(hashed: Column) -> Column:
@@ -71,11 +71,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-def concat_features(*arrays: str | Column) -> Column:
-    """Feature lists one after another."""
-    return F.concat(*arrays)
-
-
 def with_default(df, col: str, value):
     """Add a constant column where the input lacks it."""
     return df if col in df.columns else df.withColumn(col, F.lit(value))
@@ -87,12 +82,6 @@ def tokens(text: str | Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays."""
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-
-
 def value_counts(values: Column, name: str = "value", count: str = "n") -> Column:
     """Distinct values of an array with their counts, as an array of structs.
 

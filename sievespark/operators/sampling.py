@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_number, key_hash
+from ..sources.stage import materialize
 
 _TOP_N_ROWS = 10_000  # up to here one bounded top-n pass is cheaper than histograms
 _PREFIX_DIGITS = 4  # 65,536 histogram bins per level
@@ -56,38 +57,40 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, quota: int, seed: int) -> DataFrame:
-    """Up to ``quota`` rows of every group.
+    """Up to ``quota`` rows of every group; rows without a group form one.
 
     A histogram of 12-bit hash prefixes per group tells which prefix holds the
     quota-th row; only rows with that prefix are ranked, so one large group costs
-    its ranking task a 4,096th of its rows.
+    its ranking task a 4,096th of its rows. The sample is the rows up to the hash
+    found for their group; a group with fewer rows than the quota stays whole.
     """
-    h = df.withColumn("_h", key_hash(key, seed=seed)).withColumn("_bin", F.substring("_h", 1, 3))
-    bins = h.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_rows"))
-    w = W.partitionBy(group).orderBy("_bin")
-    edges = (
-        bins.withColumn("_upto", F.sum("_rows").over(w))
-        .where((F.col("_upto") >= quota) & (F.col("_upto") - F.col("_rows") < quota))
-        .select(
-            F.col(group).alias("_g"), F.col("_bin").alias("_edge"),
-            (quota - (F.col("_upto") - F.col("_rows"))).alias("_need"),
-        )
-    )
-    marked = h.join(edges, h[group] == edges["_g"], "left")
-    below = marked.where(F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge")))
-    rank = F.row_number().over(W.partitionBy(group).orderBy("_h"))
-    at_edge = marked.where(F.col("_bin") == F.col("_edge")).withColumn("_rank", rank)
-    kept = at_edge.where(F.col("_rank") <= F.col("_need"))
-    return below.select(*df.columns).unionByName(kept.select(*df.columns))
+    if quota <= 0:
+        return df.limit(0)
+    h = df.select(F.col(group).alias("_g"), key_hash(key, seed=seed).alias("_h")).withColumn("_bin", F.substring("_h", 1, 3))
+    bins = h.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_rows"))
+    w = W.partitionBy("_g").orderBy("_bin")
+    holds = bins.withColumn("_upto", F.sum("_rows").over(w)).where(
+        (F.col("_upto") >= quota) & (F.col("_upto") - F.col("_rows") < quota))
+    edges = materialize(holds.select(
+        F.col("_g").alias("_k"), F.col("_bin").alias("_edge"), (quota - (F.col("_upto") - F.col("_rows"))).alias("_need")), "edges")
+    at_edge = h.join(edges, h["_g"].eqNullSafe(edges["_k"]) & (h["_bin"] == edges["_edge"]))
+    rank = F.row_number().over(W.partitionBy("_g").orderBy("_h"))
+    cuts = materialize(at_edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need")).select(
+        F.col("_g").alias("_k"), F.col("_h").alias("_cut")), "cuts")
+    kept = df.join(cuts, df[group].eqNullSafe(cuts["_k"]), "left")
+    return kept.where(F.col("_cut").isNull() | (key_hash(key, seed=seed) <= F.col("_cut"))).select(*df.columns)
+
+
+def _with_negatives(df: DataFrame, positive: Column, key: str, n: int, seed: int) -> DataFrame:
+    """All positives and ``n`` negatives (those that exist)."""
+    h = key_hash(key, seed=seed)
+    return df.where(positive | (h <= hash_cut(df.where(~positive), h, n)))
 
 
 def undersample(df: DataFrame, positive: Column, key: str, ratio: float, seed: int) -> DataFrame:
     """All positives and ``ratio`` times as many negatives (those that exist)."""
     positive = F.coalesce(positive, F.lit(False))
-    n_pos = df.where(positive).count()
-    h = key_hash(key, seed=seed)
-    cut = hash_cut(df.where(~positive), h, int(n_pos * ratio))
-    return df.where(positive | (h <= cut))
+    return _with_negatives(df, positive, key, int(df.where(positive).count() * ratio), seed)
 
 
 def oversample(df: DataFrame, positive: Column, target: float) -> DataFrame:
@@ -125,7 +128,8 @@ def random_split(df: DataFrame, key: str, parts: int, seed: int, name: str = "sp
 
 def class_ratio(df: DataFrame, label: str, key: str, balance: float, seed: int) -> DataFrame:
     """All positives and int(positives / balance) negatives."""
-    return undersample(df, F.col(label) == 1, key, 1 / balance, seed)
+    positive = F.coalesce(F.col(label) == 1, F.lit(False))
+    return _with_negatives(df, positive, key, int(df.where(positive).count() / balance), seed)
 
 
 def quota_sample(df: DataFrame, group: str, key: str, total: int, seed: int) -> DataFrame:

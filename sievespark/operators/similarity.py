@@ -13,8 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import fits_rows, materialize
@@ -24,6 +23,8 @@ from .textfeatures import FINGERPRINT_BITS
 COEFFICIENTS = ("dice", "tanimoto", "tversky", "cosine", "sokal", "russel", "kulczynski", "mcconnaughey")
 TVERSKY_WEIGHTS = (0.5, 0.5)  # fixed values
 BLOCK_ROWS = 4_096  # with the default width a block is 32 MiB
+BLOCK_BYTES = 64 << 20
+LINEAR_BYTES = 64 << 20
 _BATCH = 256
 
 
@@ -67,19 +68,68 @@ def _sums(ids, bits, context: np.ndarray, n_bits: int, names: Sequence[str], wei
     return pd.concat(parts, ignore_index=True)
 
 
+def is_linear(name: str, weights: tuple[float, float] = TVERSKY_WEIGHTS) -> bool:
+    """Whether, for given set sizes, a coefficient is linear in the shared bits, so that its mean needs no pairs."""
+    return name in ("dice", "cosine", "russel", "kulczynski", "mcconnaughey") or name == "tversky" and sum(weights) == 1
+
+
+def _linear_means(q: DataFrame, c: DataFrame, n_context: int, n_bits: int, names: Sequence[str], weights, schema: str) -> DataFrame:
+    """Sums of linear coefficients from the context's counts per bit and set size: work grows with queries + context."""
+    sized = c.select(F.size(F.coalesce("bits", F.array().cast("array<int>"))).alias("size"), F.explode_outer("bits").alias("bit"))
+    # At most one row for each bit and set size, both bounded by the width.
+    held = sized.groupBy("size", "bit").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    sizes = np.sort(held["size"].unique())
+    rows = c.groupBy(F.size(F.coalesce("bits", F.array().cast("array<int>"))).alias("size")).count().toPandas()
+    of_size = rows.set_index("size")["count"].reindex(sizes).to_numpy(np.float64)
+    held = held.dropna()
+    table = np.zeros((n_bits, len(sizes)), np.float32 if n_context < 1 << 24 else np.float64)
+    table[held["bit"].to_numpy(np.int64), np.searchsorted(sizes, held["size"].to_numpy())] = held["n"].to_numpy()
+    shared = q.sparkSession.sparkContext.broadcast((table, sizes.astype(np.float64), of_size))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, b, n = shared.value
+        for batch in batches:
+            sums = {name: np.zeros(len(batch)) for name in names}
+            for i, bits in enumerate(batch["bits"]):
+                own = np.asarray(bits if bits is not None else [], np.int64)
+                a, common = float(len(own)), counts[own].sum(0, dtype=np.float64)
+                # Linear in c: the sum over n rows of one size is n times the value at their mean c.
+                for name, value in coefficients(a, b, common / n, n_bits, weights).items():
+                    if name in sums:
+                        sums[name][i] = (value * n).sum()
+            yield pd.DataFrame({"id": batch["id"].to_numpy("int64"), **sums})
+
+    return q.mapInPandas(scan, schema)
+
+
 def mean_similarities(
     queries: DataFrame, context: DataFrame, key: str, context_key: str, bits: str = "bits", n_bits: int = FINGERPRINT_BITS,
     names: Sequence[str] = COEFFICIENTS, weights: tuple[float, float] = TVERSKY_WEIGHTS,
     block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Mean of each coefficient per query over the whole context."""
+    """Mean of each coefficient per query over the whole context.
+
+    Coefficients linear in the shared bits come from a table of counts; only the
+    others meet every context row. Context sets have at most ``n_bits`` elements below
+    ``n_bits``; the table is made only where the width bounds it to ``LINEAR_BYTES``.
+    """
+    linear = [n for n in names if is_linear(n, weights)] if 8 * n_bits * (n_bits + 1) <= LINEAR_BYTES else []
+    rest = [n for n in names if n not in linear]
     q = queries.select(F.col(key).cast("bigint").alias("id"), F.col(bits).alias("bits"))
     c = materialize(context.select(F.col(context_key).cast("bigint").alias("id"), F.col(bits).alias("bits")), "context")
     n_context = c.count()
     if not n_context:
         raise ValueError("the context is empty")
+    if linear:
+        schema = "id bigint, " + ", ".join(f"{n} double" for n in linear)
+        sums = _linear_means(q, c, n_context, n_bits, linear, weights, schema)
+        means = sums.select(F.col("id").alias(key), *[(F.col(n) / n_context).alias(n) for n in linear])
+        if not rest:
+            return means.select(key, *names)
+        others = mean_similarities(queries, c, key, "id", "bits", n_bits, rest, weights, block_rows, slice_rows)
+        return means.join(others, key).select(key, *names)
     schema = "id bigint, " + ", ".join(f"{n} double" for n in names)
-    if fits_rows(c, block_rows):
+    if fits_rows(c, block_rows) and block_rows * n_bits * 4 <= BLOCK_BYTES:
         shared = q.sparkSession.sparkContext.broadcast(list(c.toPandas()["bits"]))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,34 +158,34 @@ def mean_similarities(
 
 
 def minhash_codes(sets: DataFrame, trees: int, hashes: int) -> DataFrame:
-    """Sort codes of (id, bit) rows: per tree, ``hashes`` minima in a row."""
-    minima = [F.min(F.xxhash64("bit", F.lit(i))).alias(f"_m{i}") for i in range(trees * hashes)]
-    per = sets.groupBy("id").agg(*minima)
+    """Sort codes of (id, bits) rows: per tree, ``hashes`` minima in a row, taken within the row."""
+
+    def least(i: int) -> Column:
+        return F.array_min(F.transform("bits", lambda x: F.xxhash64(x, F.lit(i))))
+
     codes = F.array(*[
-        F.struct(F.lit(i).alias("tree"), *[F.col(f"_m{i * hashes + j}").alias(f"code{j}") for j in range(hashes)])
+        F.struct(F.lit(i).alias("tree"), *[least(i * hashes + j).alias(f"code{j}") for j in range(hashes)])
         for i in range(trees)])
-    return per.select("id", F.inline(codes))
+    return sets.where(F.size("bits") > 0).select("id", F.inline(codes))
 
 
 def best_matches(
-    queries: DataFrame, context: DataFrame, trees: int = 8, hashes: int = 3, width: int = 1, threshold: float = 0.0,
+    queries: DataFrame, context: DataFrame, trees: int = 24, hashes: int = 2, width: int = 1, threshold: float = 0.0,
 ) -> DataFrame:
     """Approximate best Jaccard match of every query, with the exact coefficient.
 
-    Both tables are distinct (id, bit) rows. Rows next to each other in an order by MinHash
-    minima are compared, so no bucket is ever expanded. The shared bits of the
-    candidate pairs are counted by joins and a partial aggregate.
+    Both tables are (id, bits) rows, the bits distinct. Rows next to each other in an
+    order by MinHash minima are compared, so no bucket is ever expanded. A query without a
+    candidate that shares a bit has a null match and coefficient 0.
     """
-    queries, context = (materialize(d.select("id", "bit"), "sets") for d in (queries, context))
+    queries, context = (materialize(d.select("id", "bits"), "sets") for d in (queries, context))
     order = [f"code{j}" for j in range(hashes)]
-    pairs = materialize(adjacent_in_order(
-        minhash_codes(context, trees, hashes), minhash_codes(queries, trees, hashes), order, width), "pairs")
-    sizes = [d.groupBy("id").agg(F.count(F.lit(1)).alias("n")) for d in (queries, context)]
-    # A pair is spread over the bits of its context row, then met with the query's bits.
-    spread_out = pairs.join(context.withColumnRenamed("id", "context_id"), "context_id")
-    shared = spread_out.join(queries.withColumnRenamed("id", "query_id"), ["query_id", "bit"]).groupBy("query_id", "context_id").agg(F.count(F.lit(1)).alias("c"))
-    known = shared.join(sizes[0].select(F.col("id").alias("query_id"), F.col("n").alias("a")), "query_id").join(
-        sizes[1].select(F.col("id").alias("context_id"), F.col("n").alias("b")), "context_id")
-    scored = known.withColumn("jaccard", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).where(F.col("jaccard") >= threshold)
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("jaccard"), "context_id"))
-    return scored.withColumn("_r", best).where(F.col("_r") == 1).select("query_id", "context_id", "jaccard")
+    pairs = adjacent_in_order(minhash_codes(context, trees, hashes), minhash_codes(queries, trees, hashes), order, width)
+    with_sets = pairs.join(context.select(F.col("id").alias("context_id"), F.col("bits").alias("_b")), "context_id").join(
+        queries.select(F.col("id").alias("query_id"), F.col("bits").alias("_a")), "query_id")
+    shared = with_sets.select(
+        "query_id", "context_id", F.size(F.array_intersect("_a", "_b")).alias("c"), (F.size("_a") + F.size("_b")).alias("n"))
+    scored = shared.withColumn("jaccard", F.col("c") / (F.col("n") - F.col("c"))).where((F.col("c") > 0) & (F.col("jaccard") >= threshold))
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct("context_id", "jaccard"), F.struct("jaccard", -F.col("context_id"))).alias("_m"))
+    return queries.select(F.col("id").alias("query_id")).join(best, "query_id", "left").select(
+        "query_id", F.col("_m.context_id").alias("context_id"), F.coalesce("_m.jaccard", F.lit(0.0)).alias("jaccard"))

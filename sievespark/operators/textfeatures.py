@@ -20,6 +20,7 @@ from .keys import build_dictionary
 FINGERPRINT_BITS = 2048
 FINGERPRINT_RADIUS = 2
 INVALID = -1
+VECTOR_SIZE = 300
 
 
 def grams(words: Column, size: int) -> Column:
@@ -57,13 +58,20 @@ def fingerprint(
 def fingerprint_dense(df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS,
                       radius: int = FINGERPRINT_RADIUS) -> DataFrame:
     """Presence bits followed by counts; a list of -1 for a text without words."""
-    counted = bucket_counts(df, key, text, bits, radius).select(key, F.map_from_entries("counts").alias("_m"))
-    slots = F.sequence(F.lit(0), F.lit(bits - 1))
-    counts = counted.select(
-        key, F.transform(slots, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("int")).alias("_c"), "_m")
+    counted = bucket_counts(df, key, text, bits, radius)
+    zero = F.lit(0)
+    last = F.coalesce(F.element_at("counts", -1)["bucket"], F.lit(-1))
+
+    # Buckets are sorted: each entry brings the zeros since the one before it.
+    def upto(entry: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("counts", i - 1)["bucket"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, entry["bucket"] - before - 1), F.array(entry["n"].cast("int")))
+
+    filled = F.concat(F.flatten(F.transform("counts", upto)), F.array_repeat(zero, F.lit(bits - 1) - last))
+    dense = counted.select(key, F.when(F.size("counts") > 0, filled).alias("_c"))
     present = F.transform("_c", lambda n: (n > 0).cast("int"))
-    dense = F.when(F.size("_m") == 0, F.array_repeat(F.lit(INVALID), 2 * bits)).otherwise(F.concat(present, F.col("_c")))
-    return counts.select(key, dense.alias("fingerprint"))
+    unusable = F.array_repeat(F.lit(INVALID), 2 * bits)
+    return dense.select(key, F.coalesce(F.concat(present, F.col("_c")), unusable).alias("fingerprint"))
 
 
 def bit_sets(df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS, radius: int = FINGERPRINT_RADIUS) -> DataFrame:
@@ -71,6 +79,18 @@ def bit_sets(df: DataFrame, key: str, text: str, bits: int = FINGERPRINT_BITS, r
     return hashed_grams(df, key, text, bits, radius, "_g").select(key, F.array_distinct("_g").alias("bits"))
 
 
+def run_sets(df: DataFrame, key: str, text: str, radius: int = FINGERPRINT_RADIUS) -> DataFrame:
+    """The distinct hashed word runs of each text as 64-bit numbers: sets for comparing texts with each other."""
+    words = df.select(key, tokens(text).alias("_w"))
+    n = F.size("_w")
+
+    def runs(size: int) -> Column:
+        at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(size)]))
+
+    return words.select(key, F.array_distinct(F.concat(*[runs(s) for s in range(1, radius + 2)])).alias("bits"))
+
+
 def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
     """Distinct words with dense ids in word order."""
     words = explode_words(df, text, name="value")
@@ -90,9 +110,10 @@ def token_pools(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFra
         key, "idx", (F.col("sum") / F.col("_len")).alias("mean"), F.lit(1).alias("max"), "sum")
 
 
-def descriptors(text: str) -> dict[str, Column]:
-    """Named numeric descriptors of a text; -1 each for a text without words."""
-    t, words = F.col(text), tokens(text)
+def descriptors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Numeric descriptors of each text, a column each; -1 for a text without words. The text is split once."""
+    df = df.select(key, text, tokens(text).alias("_w"))
+    t, words = F.col(text), F.col("_w")
     n = F.length(t)
     kept = {cls: F.length(F.regexp_replace(t, f"[^{cls}]", "")) for cls in ("0-9", "A-Z", ".,;:!?")}
     values = {
@@ -105,19 +126,23 @@ def descriptors(text: str) -> dict[str, Column]:
         "words_per_char": ratio(F.size(words), n),
     }
     usable = F.size(words) > 0
-    return {k: F.when(usable, v.cast("double")).otherwise(float(INVALID)) for k, v in values.items()}
+    return df.select(key, *[F.when(usable, v.cast("double")).otherwise(float(INVALID)).alias(k) for k, v in values.items()])
 
 
-def fit_word_vectors(df: DataFrame, text: str, size: int = 16, min_count: int = 5, seed: int = 253,
-                     partitions: int = 8) -> Word2VecModel:
-    """Word vectors of a text column; ``min_count`` bounds the vocabulary the driver holds."""
+def fit_word_vectors(df: DataFrame, text: str, size: int = VECTOR_SIZE, min_count: int = 1, seed: int = 253,
+                     partitions: int = 8, rounds: int = 1) -> Word2VecModel:
+    """Word vectors of a text column.
+
+    Spark's trainer holds the vocabulary on the driver: for one that outgrows it,
+    ``min_count`` is the way to bound it, at the price of unknown words.
+    """
     words = df.select(tokens(text).alias("words"))
     return Word2Vec(inputCol="words", outputCol="v", vectorSize=size, minCount=min_count, seed=seed,
-                    numPartitions=partitions, maxIter=1).fit(words)
+                    numPartitions=partitions, maxIter=rounds).fit(words)
 
 
 def sentence_vectors(df: DataFrame, key: str, text: str, model: Word2VecModel) -> DataFrame:
-    """Mean, max and sum of the word vectors of a text; unknown words are skipped."""
+    """Mean, max and sum of the word vectors of every text; unknown words are skipped, -1 throughout if none is known."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -125,7 +150,9 @@ def sentence_vectors(df: DataFrame, key: str, text: str, model: Word2VecModel) -
     found = per.join(model.getVectors(), "word")
     metrics = ("mean", "max", "sum")
     pooled = found.groupBy(key).agg(Summarizer.metrics(*metrics).summary(F.col("vector"), F.col("_n")).alias("_s"))
-    return pooled.select(key, F.concat(*[vector_to_array(f"_s.{m}") for m in metrics]).alias("features"))
+    features = pooled.select(key, F.concat(*[vector_to_array(f"_s.{m}") for m in metrics]).alias("features"))
+    unusable = F.array_repeat(F.lit(float(INVALID)), len(metrics) * model.getVectorSize())
+    return df.select(key).join(features, key, "left").withColumn("features", F.coalesce("features", unusable))
 
 
 __all__ = [

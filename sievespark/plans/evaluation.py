@@ -39,8 +39,8 @@ def average_precision(spark, sf_dir):
     select round(avg(ap), 6) as mean_ap from (with {LEVELS.format(by='grp, split_group')}
     select grp, split_group, coalesce(sum(tp * ctp / cn) / nullif(sum(tp), 0), 0) as ap from rk group by 1, 2)""", "scored")
 def mean_average_precision(spark, sf_dir):
-    """Scores have at most three digits here, so each group has a bounded number of levels."""
-    out = metrics.mean_average_precision(t.scored(spark, sf_dir), ["grp", "split_group"], digits=c.SCORE_DIGITS)
+    """Ranked by the scores as they are."""
+    out = metrics.mean_average_precision(t.scored(spark, sf_dir), ["grp", "split_group"])
     return out.withColumn("mean_ap", F.round("mean_ap", 6))
 
 

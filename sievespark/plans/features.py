@@ -36,27 +36,25 @@ def fingerprint(spark, sf_dir):
 
 
 @query("f1_fingerprint_dense", f"""
-    with counts as ({fingerprint_sql("(select p_partkey, p_name as text from part)", "p_partkey", 32)}),
-    slots as (select p_partkey, b from part, range(32) r(b))
-    select p_partkey, string_agg((coalesce(n, 0) > 0)::int::varchar, ',' order by b) || ',' ||
-           string_agg(coalesce(n, 0)::varchar, ',' order by b) as fingerprint
-    from slots left join counts using (p_partkey) where true and (bucket = b or bucket is null) group by 1""".replace(
-        "using (p_partkey) where true and (bucket = b or bucket is null)",
-        "on slots.p_partkey = counts.p_partkey and bucket = b").replace(
-        "select p_partkey, string_agg", "select slots.p_partkey as p_partkey, string_agg"))
+    with counts as ({fingerprint_sql("documents", "doc_id")}),
+    slots as (select doc_id, b, len({W_ARRAY}) > 0 as usable from documents, range(2048) r(b)),
+    filled as (select slots.doc_id, b, case when usable then coalesce(n, 0) else -1 end as n, usable
+      from slots left join counts on slots.doc_id = counts.doc_id and bucket = b)
+    select doc_id, md5(string_agg(case when usable then (n > 0)::int else -1 end::varchar, ',' order by b) || ',' ||
+           string_agg(n::varchar, ',' order by b)) as fingerprint
+    from filled group by 1""")
 def fingerprint_dense(spark, sf_dir):
-    """Presence bits and counts of short strings in one list."""
-    dense = textfeatures.fingerprint_dense(
-        t.table(spark, sf_dir, "part").withColumnRenamed("p_name", "text"), "p_partkey", "text", bits=32)
-    return dense.select("p_partkey", as_text("fingerprint").alias("fingerprint"))
+    """Presence bits and counts of every document in one list of twice the width, here as its md5."""
+    dense = textfeatures.fingerprint_dense(t.texts(spark, sf_dir), "doc_id", "text")
+    return dense.select("doc_id", F.md5(as_text("fingerprint")).alias("fingerprint"))
 
 
 @query("f2_vocabulary", f"""
     select row_number() over (order by value) - 1 as idx, value from (
-      select value from (select {WORDS_SQL} as value from conversations) group by 1 having count(*) >= 3)""")
+      select distinct {WORDS_SQL} as value from conversations)""")
 def vocabulary(spark, sf_dir):
-    """Words that occur at least three times."""
-    return textfeatures.vocabulary(t.table(spark, sf_dir, "conversations"), "text", min_count=3)
+    """Every word of the conversations."""
+    return textfeatures.vocabulary(t.table(spark, sf_dir, "conversations"), "text")
 
 
 @query("f3_token_pools", f"""
@@ -80,9 +78,8 @@ def token_pools(spark, sf_dir):
         "punctuation_share": "round(length(regexp_replace(text, '[^.,;:!?]', '', 'g')) / c, 6)",
         "words_per_char": "round(len(w) / c, 6)"}.items())} from d""")
 def descriptors(spark, sf_dir):
-    found = textfeatures.descriptors("text")
-    return t.texts(spark, sf_dir).select(
-        "doc_id", *[F.round(v, 6).alias(k) for k, v in found.items()])
+    found = textfeatures.descriptors(t.texts(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", *[F.round(k, 6).alias(k) for k in found.columns if k != "doc_id"])
 
 
 @query("f6_token_nodes", f"""
@@ -115,32 +112,57 @@ def relation_edges(spark, sf_dir):
     return graphs.relation_edges(t.table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", "l_partkey", "l_returnflag")
 
 
-def wl_round_sql(i: int) -> str:
-    """One refinement round over the labels of the round before."""
-    label = "('0x' || substr(md5(l.label || '_' || hi || '_' || lo), 1, 15))::bigint"
-    return f"""
-    l{i} as (select l.graph, l.node, {label} as label from l{i - 1} l join (
-      select d.graph, d.src as node, sum(o.label >> 30)::bigint as hi, sum(o.label & 1073741823)::bigint as lo
-      from directed d join l{i - 1} o on d.graph = o.graph and d.dst = o.node group by 1, 2) s
-      on l.graph = s.graph and l.node = s.node)"""
+def wl_sql(edges: str, nodes: str) -> str:
+    """Degrees of all nodes and two refinement rounds."""
 
+    def one_round(i: int) -> str:
+        label = "('0x' || substr(md5(l.label || '_' || coalesce(hi, 0) || '_' || coalesce(lo, 0)), 1, 15))::bigint"
+        return f"""
+        l{i} as (select l.graph, l.node, {label} as label from l{i - 1} l left join (
+          select d.graph, d.src as node, sum(o.label >> 30)::bigint as hi, sum(o.label & 1073741823)::bigint as lo
+          from directed d join l{i - 1} o on d.graph = o.graph and d.dst = o.node group by 1, 2) s
+          on l.graph = s.graph and l.node = s.node)"""
 
-@query("f7_wl_labels", f"""
-    with e as ({EDGES_SQL}), directed as (select graph, src, dst from e union all select graph, dst, src from e),
-    l0 as (select graph, src as node, ('0x' || substr(md5(count(*)::varchar), 1, 15))::bigint as label
-           from directed group by 1, 2), {wl_round_sql(1)}, {wl_round_sql(2)}
+    return f"""
+    with e as ({edges}), directed as (select graph, src, dst from e union all select graph, dst, src from e),
+    deg as (select graph, src as node, count(*) as d from directed group by 1, 2),
+    l0 as (select n.graph, n.node, ('0x' || substr(md5(coalesce(d, 0)::varchar), 1, 15))::bigint as label
+           from ({nodes}) n left join deg on n.graph = deg.graph and n.node = deg.node), {one_round(1)}, {one_round(2)}
     select graph, round, label, count(*) as n from (
-      select 0 as round, * from l0 union all select 1, * from l1 union all select 2, * from l2) group by 1, 2, 3""")
+      select 0 as round, * from l0 union all select 1, * from l1 union all select 2, * from l2) group by 1, 2, 3"""
+
+
+WORD_GRAPH_SQL = wl_sql(EDGES_SQL, f"select distinct doc_id as graph, {WORDS_SQL} as node from documents")
+
+
+@query("f7_wl_labels", WORD_GRAPH_SQL)
 def wl_labels(spark, sf_dir):
-    edges = graphs.token_edges(t.texts(spark, sf_dir), "doc_id", "text")
-    return graphs.wl_labels(edges, rounds=2)
+    """The graph of a text is refined within its row."""
+    return graphs.text_wl_labels(t.texts(spark, sf_dir), "doc_id", "text")
+
+
+RELATION_SQL = "select l_suppkey as graph, l_orderkey as src, l_partkey as dst, l_returnflag from lineitem group by all"
+
+
+@query("f7_relation_labels", wl_sql(RELATION_SQL, "select distinct graph, src as node from directed"))
+def relation_labels(spark, sf_dir):
+    """Graphs of a relation, of any size, are refined by joins."""
+    return graphs.wl_labels(relation_edges(spark, sf_dir))
+
+
+@query("f7_hashed_counts", f"select graph, (label % 64)::int as bucket, sum(n)::bigint as n from ({WORD_GRAPH_SQL}) group by 1, 2")
+def hashed_label_counts(spark, sf_dir):
+    """What the embeddings are reduced from."""
+    counts = graphs.hashed_counts(graphs.text_wl_labels(t.texts(spark, sf_dir), "doc_id", "text"), 64)
+    return explode_vector(counts, ["graph"], "counts").where("value > 0").select(
+        "graph", F.col("pos").cast("int").alias("bucket"), F.col("value").cast("bigint").alias("n"))
 
 
 @query("f7_graph_embeddings")
 def graph_embeddings(spark, sf_dir):
-    """One reduced vector per document graph."""
-    edges = graphs.token_edges(t.texts(spark, sf_dir), "doc_id", "text")
-    return graphs.graph_embeddings(edges)
+    """One reduced vector per document."""
+    docs = t.texts(spark, sf_dir)
+    return graphs.graph_embeddings(graphs.text_wl_labels(docs, "doc_id", "text"), docs.select(F.col("doc_id").alias("graph")))
 
 
 @query("f8_concat_features", f"""
@@ -270,8 +292,9 @@ def entity_features(spark, sf_dir):
 
 @query("f5_sentence_vectors")
 def sentence_vectors(spark, sf_dir):
+    """Vectors of 16 numbers: the shape of the features doesn't depend on it, the time to fit them does."""
     docs = t.texts(spark, sf_dir)
-    model = textfeatures.fit_word_vectors(docs, "text")
+    model = textfeatures.fit_word_vectors(docs, "text", size=16)
     return textfeatures.sentence_vectors(docs, "doc_id", "text", model)
 
 

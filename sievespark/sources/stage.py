@@ -16,8 +16,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPREAD_TASKS = 64
-
 _OWN_ROOT: dict[str, str] = {}
 _WRITTEN: list[str] = []
 
@@ -88,9 +86,16 @@ def run_stage(
 
 
 def load_or_fit(spark: SparkSession, path: str, loader, fit: Callable[[], object], from_scratch: bool = False):
-    """Reload a fitted model or transformer if it was saved, else fit and save it."""
-    if from_scratch or not path_exists(spark, path):
+    """Reload a fitted model or transformer if it was saved, else fit and save it.
+
+    A marker beside the model is written last, so one saved in part is fitted again.
+    """
+    marker = f"{path.rstrip('/')}.complete"
+    if from_scratch or not path_exists(spark, marker):
         fit().write().overwrite().save(path)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True).close()
+        _WRITTEN.append(marker)
     return loader.load(path)
 
 
@@ -105,5 +110,5 @@ def spread(scan: DataFrame) -> DataFrame:
     A table with as many splits as the session has cores passes unchanged, so
     nothing is shuffled where the input is large. ``scan`` must be a plain scan.
     """
-    tasks = min(scan.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan

@@ -132,13 +132,33 @@ def test_int8_range(spark):
     assert wrapped == [127, -127, -128, -128, -124, 124, 12]
 
 
+def test_quota_of_nothing_and_rows_without_a_group(spark):
+    df = spark.createDataFrame([(i, f"g{i % 20}") for i in range(100)] + [(100 + i, None) for i in range(50)], "id int, g string")
+    assert sampling.quota_sample(df, "g", "id", 10, 1).count() == 0
+    assert sampling.sample_per_group(df, "g", "id", 0, 1).count() == 0
+    kept = sampling.sample_per_group(df, "g", "id", 4, 1).groupBy("g").count().collect()
+    assert len(kept) == 21 and all(r["count"] == 4 for r in kept)
+    few = sampling.sample_per_group(df, "g", "id", 20, 1).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in few} == {**{f"g{i}": 5 for i in range(20)}, None: 20}
+
+
+def test_class_ratio_divides_whole_numbers(spark):
+    df = spark.createDataFrame([(i, int(i < 49)) for i in range(200)], "id int, y int")
+    assert sampling.class_ratio(df, "y", "id", 49, 1).count() == 50
+
+
+def test_missing_keys_hash_by_their_place(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), (None, None)], "x string, y string")
+    assert df.select(c.key_hash("x", "y")).distinct().count() == 3
+
+
 def test_text_edges(spark):
     df = spark.createDataFrame([(1, ""), (2, "one"), (3, "go go go"), (4, None), (5, " \n ")], "id int, text string")
     prints = {r["id"]: r["fingerprint"] for r in textfeatures.fingerprint_dense(df, "id", "text", bits=16).collect()}
     assert prints[1] == prints[4] == prints[5] == [-1] * 32
     assert sum(prints[2][16:]) == 1 and sum(prints[3][16:]) == 6
     assert textfeatures.fingerprint(df, "id", "text").groupBy("id").agg(F.sum("n")).count() == 2
-    found = {r["id"]: r.asDict() for r in df.select("id", *[v.alias(k) for k, v in textfeatures.descriptors("text").items()]).collect()}
+    found = {r["id"]: r.asDict() for r in textfeatures.descriptors(df, "id", "text").collect()}
     assert found[4]["n_chars"] == -1 and found[5]["n_words"] == -1
     assert found[3]["n_words"] == 3 and found[3]["n_distinct_words"] == 1
     vocab = textfeatures.vocabulary(df, "text")

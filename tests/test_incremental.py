@@ -58,6 +58,11 @@ def test_saved_model_is_reloaded(spark):
     assert values(models.score(first, rows, "f"), "f", "score") == values(models.score(second, rows, "f"), "f", "score")
     scored = {tuple(r["f"]): r["score"] for r in models.score(first, rows, "f").collect()}
     assert scored[(19.0, 1.0)] > 0.5 > scored[(0.0, 1.0)]
+    # A save that broke off has no marker: the model is fitted again.
+    half = stage.new_path(spark, "half")
+    spark.range(1).write.parquet(half)
+    stage.load_or_fit(spark, half, PipelineModel, fit)
+    assert len(fits) == 2
 
 
 def test_release_deletes_stage_tables(spark):

@@ -153,13 +153,37 @@ def test_best_matches_recall(spark):
     rng = np.random.default_rng(2)
     base = {i: set(map(int, rng.choice(5000, 60, replace=False))) for i in range(60)}
     near = {i: set(list(s)[:50]) | {9000 + i * 3, 9001 + i * 3} for i, s in base.items()}
-    flat = lambda d: spark.createDataFrame([(i, b) for i, s in d.items() for b in s], "id bigint, bit int")
+    near[99] = set()
+    flat = lambda d: spark.createDataFrame([(i, sorted(s)) for i, s in d.items()], "id bigint, bits array<int>")
     got = {r["query_id"]: r for r in similarity.best_matches(flat(near), flat(base)).collect()}
-    right = [i for i in near if i in got and got[i]["context_id"] == i]
+    assert set(got) == set(near) and got[99]["context_id"] is None and got[99]["jaccard"] == 0
+    right = [i for i in near if got[i]["context_id"] == i]
     assert len(right) / len(near) > 0.9
     assert abs(got[right[0]]["jaccard"] - 50 / 62) < 1e-9
 
 
+def test_every_document_is_matched_and_recall_holds(spark):
+    from sievespark.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    runs = {}
+    for table, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        for r in textfeatures.run_sets(t.table(spark, sf, table), key, "text").collect():
+            runs[table, r[key]] = set(r["bits"])
+    docs, items = ({k: s for (n, k), s in runs.items() if n == table} for table in ("documents", "benchmark"))
+    got = {r["query_id"]: r for r in QUERIES["y10_best_match"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    hits = near = 0
+    for d, s in docs.items():
+        all_of = {i: len(s & b) / len(s | b) for i, b in items.items()}
+        best = max(all_of.values())
+        if got[d]["context_id"] is not None:
+            assert abs(all_of[got[d]["context_id"]] - got[d]["jaccard"]) < 1e-12
+        near += best >= 0.1
+        hits += best >= 0.1 and got[d]["jaccard"] >= best - 1e-12
+    assert near and hits >= 0.9 * near
+
+
 def test_reduction_agrees_with_linear_algebra(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 6)) @ rng.standard_normal((6, 6)) + 3
@@ -183,12 +207,22 @@ def test_refinement_tells_graphs_apart(spark):
     again = [(3, "x", "y"), (3, "y", "z"), (3, "z", "w")]
     edges = spark.createDataFrame(path + star + again, "graph int, src string, dst string")
     found = {}
-    for r in graphs.wl_labels(edges, 2).collect():
+    for r in graphs.wl_labels(edges, rounds=2).collect():
         found.setdefault(r["graph"], set()).add((r["round"], r["label"], r["n"]))
     assert found[1] == found[3] and found[1] != found[2]
     assert sum(n for _, _, n in found[1]) == 12
 
 
+def test_word_graphs_within_the_row_equal_the_joined_ones(spark, sf_dir):
+    docs = t.texts(spark, sf_dir).where("doc_id < 40").unionByName(
+        spark.createDataFrame([(900, "alone"), (901, "same same same"), (902, ""), (903, None)], "doc_id bigint, text string"))
+    joined = graphs.wl_labels(graphs.token_edges(docs, "doc_id", "text"), graphs.token_nodes(docs, "doc_id", "text"))
+    assert values(graphs.text_wl_labels(docs, "doc_id", "text"), "graph", "round", "label", "n") == values(
+        joined, "graph", "round", "label", "n")
+    every = graphs.graph_embeddings(graphs.text_wl_labels(docs, "doc_id", "text"), docs.selectExpr("doc_id as graph"))
+    assert every.count() == docs.count()
+
+
 def test_token_edges_by_hand(spark):
     df = spark.createDataFrame([(1, "b a b c c A"), (2, ""), (3, "x")], "id int, text string")
     assert values(graphs.token_edges(df, "id", "text")) == [
@@ -210,8 +244,8 @@ def test_pools_equal_numpy(spark, sf_dir):
 def test_sentence_vectors_skip_unknown_words(spark):
     df = spark.createDataFrame([(1, "a b " * 6), (2, "zzz")], "id int, text string")
     model = textfeatures.fit_word_vectors(df, "text", size=4, min_count=5, partitions=1)
-    out = textfeatures.sentence_vectors(df, "id", "text", model).collect()
-    assert [r["id"] for r in out] == [1] and len(out[0]["features"]) == 12
+    out = {r["id"]: r["features"] for r in textfeatures.sentence_vectors(df, "id", "text", model).collect()}
+    assert len(out[1]) == 12 and set(out[1]) != {-1.0} and out[2] == [-1.0] * 12
 
 
 def test_dictionary_is_sorted(spark, sf_dir):
