@@ -98,6 +98,18 @@ def value_counts(values: Column, name: str = "value", count: str = "n") -> Colum
         starts, ends, lambda a, b: F.struct(F.get(values, a).alias(name), (b - a).cast("bigint").alias(count)))
 
 
+def filled(entries: str, width: int, position: str, value: str, default: Column) -> Column:
+    """A list of ``width`` values from entries sorted by position, ``default`` between them; linear in the width."""
+    last = F.coalesce(F.element_at(entries, -1)[position], F.lit(-1))
+
+    # Each entry brings the defaults since the one before it.
+    def upto(entry: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(entries, i - 1)[position], F.lit(-1))
+        return F.concat(F.array_repeat(default, (entry[position] - before - 1).cast("int")), F.array(entry[value]))
+
+    return F.concat(F.flatten(F.transform(entries, upto)), F.array_repeat(default, (F.lit(width - 1) - last).cast("int")))
+
+
 def explode_words(df, text: str, *keep: str, name: str = "word"):
     """One row per word of a text.
 

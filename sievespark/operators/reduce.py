@@ -155,6 +155,17 @@ def quantisation_error(df: DataFrame, col: str, scale: float, mode: str = "satur
     return per.agg(F.max("_max").alias("max_error"), (F.sum("_sum") / F.sum("_n")).alias("mean_error"))
 
 
+def varying(df: DataFrame, col: str, out: str = "varying") -> DataFrame:
+    """The positions of a list column that aren't the same in all rows.
+
+    Constant positions become 0 when scaled, so a reduction is the same without
+    them and far cheaper where few of many hashed positions are set.
+    """
+    spans = df.select(F.posexplode(col).alias("pos", "v")).groupBy("pos").agg(F.min("v").alias("low"), F.max("v").alias("top"))
+    positions = [r["pos"] for r in spans.where("low <> top").orderBy("pos").collect()]  # at most the width
+    return df.withColumn(out, F.transform(F.array(*[F.lit(p) for p in positions]), lambda p: F.get(col, p)))
+
+
 def combine_features(df: DataFrame, cols: list[str], width: int, out: str = "features") -> DataFrame:
     """Several feature lists in one; fails on a row of another width."""
     joined = F.concat(*cols)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    explode_words, hash_number, inline_computed, ratio, tokens, value_counts, word_counts,
+    explode_words, filled, hash_number, inline_computed, ratio, tokens, value_counts, word_counts,
 )
 from .keys import build_dictionary
 
@@ -59,16 +59,8 @@ def fingerprint_dense(df: DataFrame, key: str, text: str, bits: int = FINGERPRIN
                       radius: int = FINGERPRINT_RADIUS) -> DataFrame:
     """Presence bits followed by counts; a list of -1 for a text without words."""
     counted = bucket_counts(df, key, text, bits, radius)
-    zero = F.lit(0)
-    last = F.coalesce(F.element_at("counts", -1)["bucket"], F.lit(-1))
-
-    # Buckets are sorted: each entry brings the zeros since the one before it.
-    def upto(entry: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("counts", i - 1)["bucket"], F.lit(-1))
-        return F.concat(F.array_repeat(zero, entry["bucket"] - before - 1), F.array(entry["n"].cast("int")))
-
-    filled = F.concat(F.flatten(F.transform("counts", upto)), F.array_repeat(zero, F.lit(bits - 1) - last))
-    dense = counted.select(key, F.when(F.size("counts") > 0, filled).alias("_c"))
+    counts = filled("counts", bits, "bucket", "n", F.lit(0).cast("bigint"))
+    dense = counted.select(key, F.when(F.size("counts") > 0, counts.cast("array<int>")).alias("_c"))
     present = F.transform("_c", lambda n: (n > 0).cast("int"))
     unusable = F.array_repeat(F.lit(INVALID), 2 * bits)
     return dense.select(key, F.coalesce(F.concat(present, F.col("_c")), unusable).alias("fingerprint"))
@@ -110,6 +102,16 @@ def token_pools(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFra
         key, "idx", (F.col("sum") / F.col("_len")).alias("mean"), F.lit(1).alias("max"), "sum")
 
 
+def token_pools_dense(df: DataFrame, key: str, text: str, vocab: DataFrame, width: int) -> DataFrame:
+    """Mean, max and sum of the one-hot encoding over a vocabulary of ``width`` words in one list; -1 without a known word."""
+    pools = token_pools(df, key, text, vocab)
+    per = pools.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+        "idx", "mean", F.col("max").cast("double").alias("max"), F.col("sum").cast("double").alias("sum")))).alias("_p"))
+    lists = F.concat(*[filled("_p", width, "idx", part, F.lit(0.0)) for part in ("mean", "max", "sum")])
+    unusable = F.array_repeat(F.lit(float(INVALID)), 3 * width)
+    return df.select(key).join(per.select(key, lists.alias("pools")), key, "left").withColumn("pools", F.coalesce("pools", unusable))
+
+
 def descriptors(df: DataFrame, key: str, text: str) -> DataFrame:
     """Numeric descriptors of each text, a column each; -1 for a text without words. The text is split once."""
     df = df.select(key, text, tokens(text).alias("_w"))
@@ -157,5 +159,5 @@ def sentence_vectors(df: DataFrame, key: str, text: str, model: Word2VecModel) -
 
 __all__ = [
     "bit_sets", "descriptors", "fingerprint", "fingerprint_dense", "fit_word_vectors", "grams", "hashed_grams",
-    "sentence_vectors", "token_pools", "vocabulary",
+    "run_sets", "sentence_vectors", "token_pools", "token_pools_dense", "vocabulary",
 ]
