@@ -1,24 +1,25 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
-Method: a line is normalised (lower case, white space collapsed). Its signature comes
-from hashed character shingles of up to 9 characters that begin at word starts (and at
-every ideograph, as such scripts have no spaces): a band is three shingles that follow
-or precede one of three points on the circle of sorted hashes, three minima of one
-order. Lines that share a band are candidates; pairs are verified by the exact Jaccard
-similarity, 0.8 or more, of all their 5-character shingles. Linked lines form
-components by distributed union-find, and the first line of a component (smallest
-document id, then place) stays; all others are removed. Empty lines always stay.
+Method: a line is normalised (lower case, white space at its ends cut). Its character
+shingles begin at word starts (and at every ideograph, as such scripts have no
+spaces). The signature comes from hashed shingles of up to 9 characters: a band is
+three of them that follow or precede one of three points on the circle of sorted
+hashes, three minima of one order. Lines that share a band are candidates; pairs are
+verified by the exact Jaccard similarity, 0.8 or more, of their shingles of up to 6
+characters. Linked lines form components by distributed union-find, and the first line
+of a component (smallest document id, then place) stays; all others are removed. Lines
+without a word always stay.
 
 Candidates don't grow with the square of a group: every line of a band is compared
-with the band's smallest line, and only those that differ from it are compared with
-the rest of the band. Lines equal to the smallest are linked through it, so all links
-that a band could show are kept as far as components go.
+with the band's most frequent line, to which variants of a line mostly link. A band in
+which some differ from it is divided by the lines' other bands, and the comparison
+repeated, ``LEVELS`` times in all: similar lines share several bands.
 
 Scale: what is shuffled per line are a few longs. Equal lines are one node. Texts are
 shuffled once, to fetch the candidates, of which one copy each is taken. Hot bands
 and lines are summed before the shuffle or meet in joins that adaptive execution splits.
 
-Cases: a null text is one empty line; a null id counts as the largest; rows that
+Cases: a null text is one line without words; a null id counts as the largest; rows that
 repeat id and text are the same document and keep the same lines; an empty table gives
 no rows; extra columns pass through ``keep_first_lines`` and are not read otherwise.
 """
@@ -33,8 +34,10 @@ from .common import documents, with_text
 from .components import components
 
 SIMILARITY = 0.8
-SHINGLE = 5
-_ANCHORED = r"(?s)(?:(?<![^\x20])|(?=[⺀-鿿가-힯]))(?=(.{1,9}))"
+SIGNED, COMPARED = 9, 6
+LEVELS = 3
+_SPACE = " \t\x0b\x0c\r"
+_SHINGLE = r"(?s)(?:(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])|(?=[⺀-鿿가-힯]))(?=(.{1,%d}))"
 _LAST = (1 << 63) - 1
 # Points on the circle of signed hashes; each gives the band after it and the band before it.
 _POINTS = (-(1 << 63), -(1 << 62), 1 << 61)
@@ -42,8 +45,13 @@ _POINTS = (-(1 << 63), -(1 << 62), 1 << 61)
 
 def normal_lines(text: Column) -> Column:
     """The lines of a text, normalised; line n of the result is line n of the text."""
-    plain = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
+    return F.transform(F.split(F.lower(text), "\n"), lambda line: F.btrim(line, F.lit(_SPACE)))
+
+
+def shingles(line: Column, size: int) -> Column:
+    """The distinct hashed shingles of a line."""
+    found = F.regexp_extract_all(line, F.lit(_SHINGLE % size), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def _below(hashes: str, point: int) -> Column:
@@ -76,24 +84,18 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc", "check", F.posexplode(normal_lines(F.col("text"))).alias("place", "line")).where("line <> ''")
     hashed = lines.select(
         "doc", "check", "place", F.xxhash64("line").alias("h"),
-        F.sort_array(
-            F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_ANCHORED), F.lit(1)), lambda s: F.xxhash64(s)))
-        ).alias("hashes"),
+        F.sort_array(shingles(F.col("line"), SIGNED)).alias("hashes"),
     )
     return hashed.select("doc", "check", "place", "h", bands("hashes").alias("bands"))
 
 
-def shingles(line: Column) -> Column:
-    """The distinct hashed character shingles of a line; a shorter line is its own."""
-    every = F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(every))
-
-
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough."""
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("x"))
     b = lines.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingles(F.col("x")).alias("p"), shingles(F.col("y")).alias("q"))
+    both = pairs.join(a, "a").join(b, "b").select(
+        "a", "b", shingles(F.col("x"), COMPARED).alias("p"), shingles(F.col("y"), COMPARED).alias("q")
+    )
     common = F.size(F.array_intersect("p", "q"))
     total = F.size("p") + F.size("q") - common
     return both.where(common >= F.lit(SIMILARITY) * total).select("a", "b")
@@ -107,20 +109,36 @@ def candidate_lines(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> Dat
     return rows.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["place"]).alias("line")))).alias("c")).select("c.h", "c.line")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(key, a, b): each line of a key with the key's most frequent line, the smaller hash first."""
+    rep = members.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("rep"))
+    pairs = members.join(rep, "key").where("h <> rep")
+    return pairs.select("key", F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+
+
 def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Verified links (a, b) between hashes of lines."""
-    banded = table.select("h", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("top")).where("rep <> top").select("band", "rep")
-    members = materialize(banded.join(shared, "band").where("h <> rep").select("band", "rep", "h").distinct(), "bands")
-    stars = members.select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
-    wanted = stars.select("a").union(stars.select("b")).distinct().toDF("h")
-    lines = materialize(candidate_lines(docs, table, wanted).dropDuplicates(["h"]), "candidates")
-    found = materialize(_verified(stars, lines), "links")
-    # Lines that differ from the smallest of their band meet the others of the band.
-    odd = members.join(found.select(F.col("a").alias("rep"), F.col("b").alias("h")), ["rep", "h"], "left_anti")
-    others = odd.select("band", F.col("h").alias("y")).join(members.select("band", "h"), "band").where("h <> y")
-    rest = others.select(F.least("h", "y").alias("a"), F.greatest("h", "y").alias("b")).distinct()
-    return found.union(_verified(rest, lines))
+    banded = table.select("h", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
+    bands_of = materialize(banded.join(shared, "key").groupBy("key", "h").agg(F.count("*").alias("copies")), "bands")
+    lines = materialize(candidate_lines(docs, table, bands_of.select("h").distinct()).dropDuplicates(["h"]), "candidates")
+    members, tried, found = bands_of, None, None
+    for level in range(LEVELS):
+        stars = materialize(_stars(members), "stars")
+        pairs = stars.select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        links = materialize(_verified(pairs, lines), "links")
+        tried = stars.select("a", "b").distinct() if tried is None else tried.union(stars.select("a", "b")).distinct()
+        found = links if found is None else found.union(links)
+        if level + 1 < LEVELS:
+            mixed = stars.join(found, ["a", "b"], "left_anti").select("key").distinct()
+            other = bands_of.select("h", F.col("key").alias("band"))
+            divided = members.join(mixed, "key").join(other, "h").where("key <> band")
+            divided = divided.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "h", "copies").distinct()
+            several = divided.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+            members = materialize(divided.join(several, "key"), "bands")
+    return found
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
