@@ -16,7 +16,9 @@ often it occurs. The number of ranges follows the input. EM runs on a histogram
 the deleted fold's tokens (bucket, bigram estimate, word estimate on a logarithmic
 grid, with the mean in each cell), whose size doesn't follow the input.
 
-Bigrams are keyed by 48 bits of a hash within a range of keys, words by 64 bits.
+Words are keyed by 64 bits of a hash. Bigrams are keyed by the last 40 bits of theirs
+within a range of keys: of the about ``RANGE_KEYS`` keys asked for in a range, one in
+half a million is taken for another, at any size of the input.
 
 Cases: a null text is empty and has the end token only; repeated rows each get a row;
 without training documents N and V are 0 and every token has the floor; an empty table
@@ -38,8 +40,8 @@ from ..sources.stage import materialize
 from .common import documents, id_remainder_py, with_text
 
 MODULUS, HELD_OUT, DELETED = 7, 2, 3
-CHUNK_WORDS = 1_000_000
-RANGE_KEYS = 3_000_000
+CHUNK_WORDS = 700_000
+RANGE_KEYS = 2_000_000
 GRID = 8  # cells of the EM histogram per factor of two
 EM_ROUNDS = 200
 
@@ -47,7 +49,8 @@ MAIN, LEFT_OUT, TEST = 0, 1, 2
 
 _START = np.uint64(0x243F6A8885A308D3)
 _END = np.uint64(0x13198A2E03707344)
-_BI_BITS = 48
+_BI_BITS = 60
+_BI_BYTES = 5
 
 
 class _Hashes(dict):
@@ -135,6 +138,15 @@ class Chunk:
         self.bi, self.pair, self.bi_n = np.unique(pairs, return_inverse=True, return_counts=True)
 
 
+def _planes(n: np.ndarray) -> bytes:
+    """Counts as unsigned 32-bit numbers, first bytes first, which compress well as most counts are small."""
+    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _bounds(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     edges = np.array([(r << bits) // ranges for r in range(ranges)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
@@ -155,19 +167,17 @@ def questions(stage: DataFrame, ranges: int) -> DataFrame:
                 for k in range(ranges):
                     x, y = slice(u[k], u[k + 1]), slice(b[k], b[k + 1])
                     if x.stop > x.start or y.stop > y.start:
-                        six = c.bi[y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        rows.append(
-                            (k, r["chunk"], r["fold"], c.uni[x].tobytes(), c.uni_n[x].astype("<u4").tobytes(), six, c.bi_n[y].astype("<u4").tobytes())
-                        )
+                        low = c.bi[y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BI_BYTES].tobytes()
+                        rows.append((k, r["chunk"], r["fold"], c.uni[x].tobytes(), _planes(c.uni_n[x]), low, _planes(c.bi_n[y])))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), kinds)], [c.split()[0] for c in _ASK.split(", ")])
 
     return stage.mapInArrow(run, _ASK)
 
 
-def _wide(six: bytes) -> np.ndarray:
-    out = np.zeros((len(six) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+def _wide(low: bytes) -> np.ndarray:
+    out = np.zeros((len(low) // _BI_BYTES, 8), np.uint8)
+    out[:, :_BI_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, _BI_BYTES)
     return out.view("<u8").ravel()
 
 
@@ -175,19 +185,27 @@ _ANSWER = "range long, chunk long, fold int, uni binary, bi binary, vocabulary l
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """For each chunk, the counts (main, left out) of its keys in its order; ``vocabulary``: trained words of the range, in one row."""
+    """For each chunk, the counts of its keys in its order; ``vocabulary``: trained words of the range, in one row.
+
+    A chunk of the left-out fold gets the counts in the main fold before those in all training documents.
+    """
     rows = table.to_pylist()
     trained = {}
     out: dict[str, list] = {"uni": [], "bi": []}
     for kind, keys in (("uni", [np.frombuffer(r["uni"], np.uint64) for r in rows]), ("bi", [_wide(r["bi"]) for r in rows])):
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([np.frombuffer(r[kind + "_n"], "<u4") for r in rows]).astype(np.float64)
-        fold = np.repeat([r["fold"] for r in rows], [len(k) for k in keys])
-        sums = np.stack([np.bincount(place, np.where(fold == f, n, 0), len(distinct)) for f in (MAIN, LEFT_OUT)], 1).astype("<u4" if n.sum() < 2**32 else "<u8")
+        n = np.concatenate([_numbers(r[kind + "_n"]) for r in rows])
+        fold = np.repeat(np.array([r["fold"] for r in rows], np.int8), [len(k) for k in keys])
+        main = np.bincount(place, np.where(fold == MAIN, n, 0), len(distinct))
+        every = main + np.bincount(place, np.where(fold == LEFT_OUT, n, 0), len(distinct))
+        if every.max(initial=0) >= 2**32:
+            raise ValueError("a count exceeds 32 bits")
         if kind == "uni":
-            trained = int(((sums.sum(1) > 0) & (distinct != _START)).sum())
+            trained = int(((every > 0) & (distinct != _START)).sum())
         ends = np.cumsum([len(k) for k in keys])
-        out[kind] = [sums[place[e - len(k) : e]].astype("<u4").T.tobytes() for e, k in zip(ends, keys)]
+        for r, e, k in zip(rows, ends, keys):
+            own = place[e - len(k) : e]
+            out[kind].append((_planes(main[own]) if r["fold"] == LEFT_OUT else b"") + _planes(every[own]))
     return pa.table(
         [
             pa.array([r["range"] for r in rows], pa.int64()), pa.array([r["chunk"] for r in rows], pa.int64()),
@@ -198,10 +216,17 @@ def _answers(table: pa.Table) -> pa.Table:
     )
 
 
-def _counts(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (main, left out) of a chunk's words and bigrams."""
-    rows = sorted(answers.select(["range", "uni", "bi"]).to_pylist(), key=lambda r: r["range"])
-    return tuple(np.concatenate([np.frombuffer(r[k], "<u4").reshape(2, -1) for r in rows], 1).astype(np.float64) for k in ("uni", "bi"))
+def _counts(answers: pa.Table, main: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a chunk's words and bigrams in all training documents, or in the main fold."""
+    rows = sorted(answers.select(["range", "fold", "uni", "bi"]).to_pylist(), key=lambda r: r["range"])
+
+    def wanted(r: dict, kind: str) -> np.ndarray:
+        if r["fold"] != LEFT_OUT:
+            return _numbers(r[kind])
+        half = len(r[kind]) // 2
+        return _numbers(r[kind][:half] if main else r[kind][half:])
+
+    return tuple(np.concatenate([wanted(r, kind) for r in rows]).astype(np.float64) for kind in ("uni", "bi"))
 
 
 def frequency_bucket(n: np.ndarray) -> np.ndarray:
@@ -267,17 +292,17 @@ def score_texts(docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int
     def histogram(asked: pa.Table, answered: pa.Table) -> pa.Table:
         r = asked.to_pylist()[0]
         c = Chunk(r["doc_ids"], r["null_ids"], r["texts"])
-        (uni, _), (bi, _) = _counts(answered)
+        uni, bi = _counts(answered, main=True)
         context = uni[c.context]
         p2 = np.divide(bi[c.pair], context, out=np.zeros(len(context)), where=context > 0)
         p1 = uni[c.token] / max(n_main, 1)
-        keys = np.stack([frequency_bucket(context), _cell(p2), _cell(p1)], 1)
-        cells, place = np.unique(keys, axis=0, return_inverse=True)
-        place = place.ravel()
+        keys = (frequency_bucket(context).astype(np.int64) << 40) | (_cell(p2) + 1 << 20) | (_cell(p1) + 1)
+        cells, place = np.unique(keys, return_inverse=True)
+        low = (1 << 20) - 1
         log = lambda p: np.log2(np.where(p > 0, p, 1.0))
         return pa.table(
             {
-                "bucket": cells[:, 0], "c2": cells[:, 1], "c1": cells[:, 2],
+                "bucket": cells >> 40, "c2": (cells >> 20 & low) - 1, "c1": (cells & low) - 1,
                 "n": np.bincount(place).astype(np.int64), "l2": np.bincount(place, log(p2)), "l1": np.bincount(place, log(p1)),
             }
         )
@@ -297,7 +322,7 @@ def score_texts(docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int
     def score(asked: pa.Table, answered: pa.Table) -> pa.Table:
         r = asked.to_pylist()[0]
         c = Chunk(r["doc_ids"], r["null_ids"], r["texts"])
-        uni, bi = (x.sum(0) for x in _counts(answered))
+        uni, bi = _counts(answered)
         context, count = uni[c.context], uni[c.token]
         p2 = np.divide(bi[c.pair], context, out=np.zeros(len(context)), where=context > 0)
         w = weights_of(weights, frequency_bucket(context))
