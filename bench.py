@@ -24,6 +24,7 @@ HEADLINE = [
     "x1_average_precision", "x8_report", "m9_scored_output", "m6_ensemble", "f1_fingerprint", "f3_token_pools",
     "f6_token_edges", "f7_wl_labels", "f9_standardise", "f11_reduction", "a5_pools", "j9_nearest_exact", "j9_nearest_cells",
     "j8_nearest_approx", "y9_mean_similarities", "y10_best_match", "t1_running_dictionary", "t2_running_counts",
+    "f1_fingerprint_dense", "f4_descriptors", "z2_screening_output",
 ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
+from ..sources.stage import materialize
 from .keys import build_dictionary, distinct_values, encode
 from .windows import dense_index
 
@@ -55,7 +56,8 @@ def entities(spark, sf_dir: str, blocks: DataFrame | None = None) -> DataFrame:
     """One row per entity: three block ids and three labels.
 
     Labels are reduced per entity before anything is joined, so the joins see one
-    row per entity rather than one per observation.
+    row per entity rather than one per observation. The table is written: what uses
+    it, often several times, starts from the copy.
     """
     blocks = dictionary(spark, sf_dir) if blocks is None else blocks
     items = t.table(spark, sf_dir, "lineitem").select(
@@ -67,4 +69,4 @@ def entities(spark, sf_dir: str, blocks: DataFrame | None = None) -> DataFrame:
         F.col("p_name").alias("b1"), F.col("p_brand").alias("b2"), F.col("p_type").alias("b3"),
     )
     encoded = encode(wide.join(parts, "entity_id"), blocks, dict(zip(t.BLOCKS, t.BLOCK_IDS)))
-    return encoded.select("entity_id", *t.BLOCK_IDS, *t.LABELS)
+    return materialize(encoded.select("entity_id", *t.BLOCK_IDS, *t.LABELS), "entities")

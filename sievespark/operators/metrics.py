@@ -44,11 +44,15 @@ def mean_average_precision(df: DataFrame, by: Sequence[str], digits: int | None
     return average_precision(df, by, digits, **cols).agg(F.avg("ap").alias("mean_ap"))
 
 
+def area(fp: Column) -> Column:
+    """Area under the ROC curve from ranked levels (null with one class only)."""
+    gained = F.sum(fp * (F.col("ctp") - F.col("tp") / 2.0))
+    return F.try_divide(gained, F.sum("tp") * F.sum(fp).cast("double"))
+
+
 def roc_auc(df: DataFrame, by: Sequence[str] = (), digits: int | None = None, **cols) -> DataFrame:
     """Area under the ROC curve and Gini per group (null with one class only)."""
-    fp = F.col("n") - F.col("tp")
-    area = F.sum(fp * (F.col("ctp") - F.col("tp") / 2.0))
-    auc = F.try_divide(area, F.sum("tp") * F.sum(fp).cast("double"))
+    auc = area(F.col("n") - F.col("tp"))
     out = ranking(df, by, digits=digits, **cols).groupBy(*by).agg(auc.alias("auc"))
     return out.withColumn("gini", F.col("auc") * 2 - 1)
 
@@ -86,16 +90,15 @@ def classification(
 def report(df: DataFrame, label: str = "label", score: str = "score", digits: int | None = None) -> DataFrame:
     """One rounded row: F1, Gini, precision, recall, average precision.
 
-    A constant helper column groups each part, so three one-row tables join.
+    A constant helper column groups each part, so two one-row tables join; the areas
+    come from one ranking.
     """
     one = df.select(F.lit(1).alias("_all"), label, score)
     cols = {"label": label, "score": score}
-    parts = [
-        classification(one, ["_all"], label, score),
-        roc_auc(one, ["_all"], digits, **cols),
-        average_precision(one, ["_all"], digits, **cols),
-    ]
-    joined = parts[0].join(parts[1], "_all").join(parts[2], "_all")
+    gain = F.sum(F.col("tp") * F.col("ctp") / F.col("cn"))
+    ranked = ranking(one, ["_all"], digits=digits, **cols).groupBy("_all").agg(
+        (2 * area(F.col("n") - F.col("tp")) - 1).alias("gini"), ratio(gain, F.sum("tp")).alias("ap"))
+    joined = classification(one, ["_all"], label, score).join(ranked, "_all")
     return joined.select(
         F.bround("f1", 3).alias("f1"), F.bround("gini", 2).alias("gini"),
         F.bround("precision", 3).alias("precision"), F.bround("recall", 3).alias("recall"),
