@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, with_text
+from .common import documents
 from .tokens import text_groups
 
 #: Each has six words; together they bear a replaced word in any place, also one word in five.
