@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from sievespark.operators import sampling, splits, textfeatures
+from sievespark.operators import graphs, sampling, splits, textfeatures
 from sievespark.plans.catalog import QUERIES
 from sievespark.sources import tables as t
 
@@ -44,6 +44,18 @@ def test_split_and_sample_are_filters(spark, sf_dir):
     assert "Exchange" not in plan(sampling.undersample(rows, positive, "o_orderkey", 2, 1))
 
 
+def test_linear_means_need_no_pairs_and_word_graphs_no_shuffle(spark, sf_dir):
+    for name in ("y1_dice", "y3_tversky", "y4_cosine", "y6_russel", "y7_kulczynski", "y8_mcconnaughey"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert "CoGroup" not in text and "Join" not in text
+    assert "Exchange" not in plan(graphs.text_wl_labels(t.table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def test_stages_are_not_rebuilt(spark, sf_dir):
+    for name, most in (("p5_any_label", 8), ("m6_ensemble", 8), ("b5_quota_sample", 2)):
+        assert plan(QUERIES[name](spark, sf_dir)).count("\nLocation:") <= most
+
+
 @pytest.mark.parametrize("name", [
     "j2_star_features", "j5_semi_any", "v4_split_report", "y9_mean_similarities", "y10_best_match", "j8_nearest_approx",
     "j9_nearest_cells", "x1_average_precision", "m9_scored_output", "f3_token_pools",
