@@ -186,11 +186,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = BYTE_FILE, end_id: in
     ordered.select("part", "doc_id", "text").mapInArrow(segments, _FILE).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> tuple[DataFrame, DataFrame]:
     """The documents read back, and the ids before each segment.
 
     A document has ``part``, ``segment``, ``doc_id``, ``inside`` (ids before it in the
-    segment), ``n_tokens``, ``ids_crc32`` and ``ids`` (little-endian u32).
+    segment), ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids`` (little-endian u32).
     """
     files = spark.read.schema(_FILE).parquet(path)
     per = files.groupBy("part", "segment").agg(F.sum("n_ids").alias("n"))
@@ -220,7 +220,7 @@ def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                         pa.array(ends - n),
                         pa.array(n),
                         pa.array([zlib.crc32(r) for r in own], pa.int64()),
-                        pa.array(own, pa.binary()),
+                        pa.array(own if with_ids else [None] * len(own), pa.binary()),
                     ],
                     names,
                 )
@@ -233,7 +233,7 @@ def read_ids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def documents_read(spark: SparkSession, path: str) -> DataFrame:
     """Digest of each document in the files."""
-    rows, starts = read_ids(spark, path)
+    rows, starts = read_ids(spark, path, with_ids=False)
     return rows.drop("ids").join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -28,7 +28,7 @@ WORD_FILE = "word_bpe_49k.json"
 BYTE_FILE = "byte_bpe_50k.json"
 
 #: Distinct parts that a worker remembers, and those of a group of texts more; then it forgets all and goes on.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 # White space as the tokenizers' patterns have it (Unicode's White_Space).
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
