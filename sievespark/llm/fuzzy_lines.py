@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
-Method: a line is normalised (lower case, white space at its ends cut). Its character
-shingles begin at word starts (and at every ideograph, as such scripts have no
-spaces). The signature comes from hashed shingles of up to 9 characters: a band is
-three of them that follow or precede one of three points on the circle of sorted
+Method: a line is normalised (lower case, white space at its ends cut). Its signature
+comes from hashed shingles: of up to 9 characters that begin at word starts, or of 5
+characters at every place if the line has few word starts, as addresses, ids and texts
+without spaces have; lines with a number between get both. A band is three hashes that follow or precede one of three points on the circle of sorted
 hashes, three minima of one order. Lines that share a band are candidates; pairs are
-verified by the exact Jaccard similarity, 0.8 or more, of their shingles of up to 6
-characters. Linked lines form components by distributed union-find, and the first line
-of a component (smallest document id, then place) stays; all others are removed. Lines
-without a word always stay.
+verified by the exact Jaccard similarity, 0.8 or more, of all their 5-character shingles.
+Linked lines form components by distributed union-find, and the first line of a component
+(smallest document id, then place) stays; all others are removed. Lines without a word
+always stay.
 
 Candidates don't grow with the square of a group: every line of a band is compared
 with the band's most frequent line, to which variants of a line mostly link. A band in
@@ -34,10 +34,13 @@ from .common import documents, with_text
 from .components import components
 
 SIMILARITY = 0.8
-SIGNED, COMPARED = 9, 6
+SIGNED, COMPARED = 9, 5
+#: Lines of fewer word starts than SPARSE are signed by every shingle, those of DENSE or more by word starts.
+DENSE, SPARSE = 8, 12
 LEVELS = 3
 _SPACE = " \t\x0b\x0c\r"
-_SHINGLE = r"(?s)(?:(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])|(?=[⺀-鿿가-힯]))(?=(.{1,%d}))"
+_STARTS = r"(?s)(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])(?=(.{1,%d}))" % SIGNED
+_EVERY = r"(?s)(?=(.{%d}))" % COMPARED
 _LAST = (1 << 63) - 1
 # Points on the circle of signed hashes; each gives the band after it and the band before it.
 _POINTS = (-(1 << 63), -(1 << 62), 1 << 61)
@@ -48,10 +51,18 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), "\n"), lambda line: F.btrim(line, F.lit(_SPACE)))
 
 
-def shingles(line: Column, size: int) -> Column:
-    """The distinct hashed shingles of a line."""
-    found = F.regexp_extract_all(line, F.lit(_SHINGLE % size), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+def _hashed(line: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s)))
+
+
+def word_starts(line: Column) -> Column:
+    """The distinct hashed shingles at word starts."""
+    return _hashed(line, _STARTS)
+
+
+def shingles(line: Column) -> Column:
+    """The distinct hashed shingles at every place of a line; a shorter line is its own."""
+    return F.when(F.length(line) < COMPARED, F.array(F.xxhash64(line))).otherwise(_hashed(line, _EVERY))
 
 
 def _below(hashes: str, point: int) -> Column:
@@ -84,9 +95,15 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc", "check", F.posexplode(normal_lines(F.col("text"))).alias("place", "line")).where("line <> ''")
     hashed = lines.select(
         "doc", "check", "place", F.xxhash64("line").alias("h"),
-        F.sort_array(shingles(F.col("line"), SIGNED)).alias("hashes"),
+        F.sort_array(word_starts(F.col("line"))).alias("starts"), "line",
+    )
+    few = F.size("starts") < SPARSE
+    hashed = hashed.withColumn("every", F.when(few, F.sort_array(shingles(F.col("line"))))).drop("line")
+    every, starts = bands("every"), bands("starts")
+    return hashed.select(
+        "doc", "check", "place", "h",
+        F.when(~few, starts).when(F.size("starts") < DENSE, every).otherwise(F.array_distinct(F.concat(every, starts))).alias("bands"),
     )
-    return hashed.select("doc", "check", "place", "h", bands("hashes").alias("bands"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -94,7 +111,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("x"))
     b = lines.select(F.col("h").alias("b"), F.col("line").alias("y"))
     both = pairs.join(a, "a").join(b, "b").select(
-        "a", "b", shingles(F.col("x"), COMPARED).alias("p"), shingles(F.col("y"), COMPARED).alias("q")
+        "a", "b", shingles(F.col("x")).alias("p"), shingles(F.col("y")).alias("q")
     )
     common = F.size(F.array_intersect("p", "q"))
     total = F.size("p") + F.size("q") - common

@@ -287,6 +287,31 @@ def test_variants_of_one_line_are_found_without_all_pairs(spark):
     assert fuzzy_lines.removed_lines(df).count() >= 26
 
 
+def all_shingles(line):
+    return frozenset([line[i : i + 5] for i in range(len(line) - 4)] or [line])
+
+
+def all_links(lines, sets):
+    """Lines linked by the Jaccard coefficient of all their 5-character shingles, by brute force."""
+    return linked(lines, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def test_fuzzy_lines_by_all_shingles(spark):
+    """Addresses, ids and texts without spaces: only lines alike over all their characters go."""
+    long = "https://www.example.org/articles/2024/05/a-rather-long-title-of-an-article-about-rivers"
+    thai = "สวัสดีครับวันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกันเถอะ"
+    lines = [
+        "https://www.foo.org/abc", "https://www.bar.com/xyz/long/page", "inv-2024-00017", "inv-2024-99918",
+        long, long + "-2", long.replace("https", "http"), "สวัสดีครับผมชื่อสมชายมาจากเชียงใหม่", thai, thai + "นะ",
+        "extraordinarily unbelievable considerations", "extraordinary unbelievers considered",
+        "a short line of few words", "a short line of few word", "漢字仮名交じり文は日本語の標準的な表記法である", "漢字仮名交じり文は日本語の標準的な表記法です",
+    ]
+    root = all_links(lines, {x: all_shingles(x) for x in lines})
+    df = fuzzy_lines.keyed(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    got = {r.doc for r in fuzzy_lines.removed_lines(df).collect()}
+    assert got == {i for i in range(len(lines)) if root[i] in root[:i]} and {0, 1, 2, 3, 7}.isdisjoint(got) and {5, 6, 9} <= got
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
