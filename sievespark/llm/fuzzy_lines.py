@@ -10,10 +10,11 @@ Linked lines form components by distributed union-find, and the first line of a
 (smallest document id, then place) stays; all others are removed. Lines without a word
 always stay.
 
-Candidates don't grow with the square of a group: every line of a band is compared
-with the band's most frequent line, to which variants of a line mostly link. A band in
-which some differ from it is divided by the lines' other bands, and the comparison
-repeated, ``LEVELS`` times in all: similar lines share several bands.
+Candidates don't grow with the square of a group: every line of a band is compared with
+the band's most frequent line, to which variants of a line mostly link. Lines of a band
+in which several components are left are then joined without loss by their rarest
+shingles: similar lines share one of the first fifth in an order by frequency, at places
+that leave room for the overlap they need. Pairs within a component are not compared.
 
 Scale: what is shuffled per line are a few longs. Equal lines are one node. Texts are
 shuffled once, to fetch the candidates, of which one copy each is taken. Hot bands
@@ -37,7 +38,8 @@ SIMILARITY = 0.8
 SIGNED, COMPARED = 9, 5
 #: Lines of fewer word starts than SPARSE are signed by every shingle, those of DENSE or more by word starts.
 DENSE, SPARSE = 8, 12
-LEVELS = 3
+#: Frequencies of shingles are counted in so many buckets; they only order the shingles.
+BUCKETS = 1 << 14
 _SPACE = " \t\x0b\x0c\r"
 _STARTS = r"(?s)(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])(?=(.{1,%d}))" % SIGNED
 _EVERY = r"(?s)(?=(.{%d}))" % COMPARED
@@ -133,29 +135,54 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select("key", F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
 
 
+def rare_shingles(lines: DataFrame) -> DataFrame:
+    """(h, label, n, at, shingle): of each line's n shingles those of which similar lines share one, rarest first.
+
+    Of two sets whose Jaccard coefficient is SIMILARITY or more, each holds at least
+    SIMILARITY of its own members in common, so the rarest common one is among these.
+    """
+    hashed = materialize(lines.select("h", "label", shingles(F.col("line")).alias("s")), "shingles")
+    bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
+    counted = hashed.select(F.explode(F.transform("s", bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    counts = counted.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
+    counts = counts.select(
+        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("counts", i.cast("long")), F.lit(0))).alias("counts")
+    )
+    ordered = hashed.crossJoin(F.broadcast(materialize(counts, "counts"))).select(
+        "h", "label", F.size("s").alias("n"),
+        F.sort_array(F.transform("s", lambda x: F.struct(F.get("counts", bucket(x).cast("int")).alias("c"), x.alias("x")))).alias("s"),
+    )
+    first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    return ordered.select("h", "label", "n", F.posexplode(F.transform(F.slice("s", F.lit(1), first), lambda x: x["x"])).alias("at", "shingle"))
+
+
+def close_lines(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different labels that hold all similar ones."""
+    entries = materialize(rare_shingles(lines), "rare")
+    of = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("shingle")
+    entries = entries.join(of, "shingle")
+    x, y = (entries.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "label", "n", "at")]) for k in "ab")
+    # The common members from this one on, at most, if it is the first: they must reach the similarity.
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    need = F.lit(SIMILARITY) * (F.col("n_a") + F.col("n_b")) - F.lit(SIMILARITY) * room - F.lit(1e-9)
+    both = x.join(y, "shingle").where((F.col("h_a") < F.col("h_b")) & (F.col("label_a") != F.col("label_b")) & (room >= need))
+    return both.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
+
+
 def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Verified links (a, b) between hashes of lines."""
     banded = table.select("h", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
     bands_of = materialize(banded.join(shared, "key").groupBy("key", "h").agg(F.count("*").alias("copies")), "bands")
     lines = materialize(candidate_lines(docs, table, bands_of.select("h").distinct()).dropDuplicates(["h"]), "candidates")
-    members, tried, found = bands_of, None, None
-    for level in range(LEVELS):
-        stars = materialize(_stars(members), "stars")
-        pairs = stars.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        links = materialize(_verified(pairs, lines), "links")
-        tried = stars.select("a", "b").distinct() if tried is None else tried.union(stars.select("a", "b")).distinct()
-        found = links if found is None else found.union(links)
-        if level + 1 < LEVELS:
-            mixed = stars.join(found, ["a", "b"], "left_anti").select("key").distinct()
-            other = bands_of.select("h", F.col("key").alias("band"))
-            divided = members.join(mixed, "key").join(other, "h").where("key <> band")
-            divided = divided.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "h", "copies").distinct()
-            several = divided.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-            members = materialize(divided.join(several, "key"), "bands")
-    return found
+    links = materialize(_verified(_stars(bands_of).select("a", "b").distinct(), lines), "links")
+    labels = materialize(components(links), "star-labels")
+    placed = bands_of.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
+    placed = materialize(placed, "bands")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("key")
+    left = placed.join(mixed, "key").select("h", "label").distinct()
+    rest = materialize(_verified(materialize(close_lines(lines.join(left, "h")), "pairs"), lines), "links")
+    return links.union(rest)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -312,6 +312,26 @@ def test_fuzzy_lines_by_all_shingles(spark):
     assert got == {i for i in range(len(lines)) if root[i] in root[:i]} and {0, 1, 2, 3, 7}.isdisjoint(got) and {5, 6, 9} <= got
 
 
+def test_lines_of_one_template_are_all_compared(spark):
+    """Partners that share only the bands of their template's words with thousands of unlike lines are found."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("bcdfgklmaeiou"), n))
+    common, rows = [word(7) for _ in range(24)], []
+    for k in range(400):
+        own = [word(7) for _ in range(6)]
+        other = [*own[:5], word(6)] if k % 2 else [own[0] + "s", *own[1:]]
+        rows += [(2 * k + i, " ".join(common + w)) for i, w in enumerate((own, other))]
+    rows = [(int(i), t) for i, t in rows]
+    table = fuzzy_lines.line_table(fuzzy_lines.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    band = {r.doc: set(r.bands) for r in table.collect()}
+    pairs = [k for k in range(400) if band[2 * k] & band[2 * k + 1]]
+    sets = [all_shingles(t) for _, t in rows]
+    assert all(5 * len(sets[0] & s) < 4 * len(sets[0] | s) for s in sets[2:])
+    got = {r.doc for r in fuzzy_lines.removed_lines(fuzzy_lines.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    true = {2 * k + 1 for k in pairs if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert len(true) > 300 and true <= got
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
