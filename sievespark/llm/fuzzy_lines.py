@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
-Method: a line is normalised (lower case, white space at its ends cut). Its signature
+Method: a line is normalised (lower case, white space collapsed). Its signature
 comes from hashed shingles: of up to 9 characters that begin at word starts, or of 5
 characters at every place if the line has few word starts, as addresses, ids and texts
 without spaces have; lines with a number between get both. A band is three hashes that follow or precede one of three points on the circle of sorted
@@ -27,6 +27,8 @@ no rows; extra columns pass through ``keep_first_lines`` and are not read otherw
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,10 @@ _POINTS = (-(1 << 63), -(1 << 62), 1 << 61)
 
 def normal_lines(text: Column) -> Column:
     """The lines of a text, normalised; line n of the result is line n of the text."""
-    return F.transform(F.split(F.lower(text), "\n"), lambda line: F.btrim(line, F.lit(_SPACE)))
+    low = F.lower(text)
+    uneven = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in ("  ", *_SPACE[1:])])
+    plain = F.when(uneven, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+    return F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
 
 
 def _hashed(line: Column, pattern: str) -> Column:

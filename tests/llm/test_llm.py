@@ -332,6 +332,12 @@ def test_lines_of_one_template_are_all_compared(spark):
     assert len(true) > 300 and true <= got
 
 
+def test_inner_white_space_makes_no_difference(spark):
+    rows = [(0, "one two six ten a b c d e f g h"), (1, "one  two\tsix   ten a b\x0bc  d  e \t f  g h\r"), (2, " a b\nx\ty z"), (3, "x y\fz\na  b\n\t \r")]
+    got = fuzzy_lines.removed_lines(fuzzy_lines.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {(r.doc, k) for r in got for k in r.removed} == {(1, 0), (3, 0), (3, 1)}
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
