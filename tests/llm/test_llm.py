@@ -147,6 +147,21 @@ def test_redaction(spark):
     assert got == {1: "mail [PII] now", 2: "nothing", 3: None}
 
 
+def test_forms_beyond_the_strict_patterns_are_added(spark):
+    """National phone numbers and written-out addresses go; numbers that are neither stay."""
+    rng, rows = np.random.default_rng(3), []
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    for i in range(400):
+        us, de = f"+1 ({n(3)}) {n(3)}-{n(4)}", f"+49 17{n(1)} {n(7)}"
+        rows.append((i, f"please call {us} or phone {de} today, mail jo{i}@example{i % 7}.com now, order {n(9)} of {n(4)}-{n(4)}, user x{i}@home wrote"))
+    planted = ["call (555) 123-4567 today", "phone 0170 1234567 today", "mail jo at example dot com now", "mail ann.lee (at) mail (dot) example (dot) org now"]
+    kept = ["order 123456789 of it", "on 2024-05-17 12:30 and again", "we met at noon and dot the line"]
+    rows += [(1000 + i, t) for i, t in enumerate(planted + kept)]
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.added] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [("phone", 5, 19), ("phone", 6, 18), ("email", 5, 26), ("email", 5, 46)]
+    assert [got[1000 + i] for i in range(7)] == [[w] for w in want] + [[]] * 3
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
