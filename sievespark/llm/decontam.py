@@ -5,11 +5,13 @@ a window still matches where ignored words were replaced. Seeds of all windows o
 the benchmark are looked up by the seeds of the documents. Around every hit, the
 document and the item are laid on each other at the hit's offset, and the segment
 with the best score (2 for an equal word, -3 for a replaced one) is taken. An item
-is found in a document if that segment has at least 13 equal words, or at least
-0.8 of the item's words if the item is short.
+is found in a document if that segment has at least 13 equal words, or, if the item
+is short, if at least 0.8 of its words are equal at that offset. Short items have
+further masks, so that no choice of replaced words within that share hides them;
+items of fewer than ``MIN_ITEM`` words bear none and are found as they are.
 
-Words are runs of letters, digits and underscores, in lower case. Items of fewer
-than ``MIN_ITEM`` words are no evidence and are not looked for.
+Words are runs of letters, digits and underscores, in lower case; a letter of a
+script without spaces is a word.
 
 Scale: documents are read once for every ``BLOCK_CHARS`` characters of benchmark and
 are not shuffled; each task holds the seeds of one block, whose size is checked, so
@@ -22,6 +24,7 @@ each; an empty table on either side gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -39,10 +42,14 @@ MASKS = ("1110111", "11011011", "110100111", "1111000011")
 MIN_ITEM = 5
 MIN_WORDS = 13
 MIN_SHARE = 0.8
+#: Items of so many words at most are found by their share.
+SHORT = 16
 BLOCK_CHARS = 8_000_000
 _TABLE_BITS = 22
 
-_WORDS = re.compile(r"\w+").findall
+#: Ideographs and kana, and the letters of Thai, Lao, Burmese and Khmer.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]").findall
 _FACTORS = np.random.default_rng(9).integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,19 +84,39 @@ def hash_of_mask(mask: str) -> int:
     return xxhash.xxh3_64_intdigest(mask.encode())
 
 
+def needed(n: int) -> int:
+    """The equal words by which an item of n words is found."""
+    return min(MIN_WORDS, -(-n * 4 // 5))
+
+
+def masks_of(n: int) -> list[str]:
+    """The masks for items of n words: one of them holds wherever ``n - needed(n)`` words of a short item are replaced."""
+    if n < MIN_ITEM:
+        return ["1" * n]
+    if n < 9:  # one word may differ: all but each; one mask serves for the first and the last
+        return ["1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1))]
+    lost = n - needed(n)
+    if lost < 2 or n > SHORT:
+        return list(MASKS)
+    # Of lost + 2 blocks two are whole.
+    cuts = [n * i // (lost + 2) for i in range(lost + 3)]
+    block = [next(b for b in range(lost + 2) if i < cuts[b + 1]) for i in range(n)]
+    pairs = itertools.combinations(range(lost + 2), 2)
+    return [*MASKS, *("".join("1" if b in two else "0" for b in block).strip("0") for two in pairs)]
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         known = _Hashes()
-        self.items = [(i, w) for i, t in items for w in [word_hashes(t, known)] if len(w) >= MIN_ITEM]
-        shortest = min(map(len, MASKS))
-        lengths = sorted({len(w) for _, w in self.items if len(w) < shortest})
-        self.masks = [*MASKS, *("1" * n for n in lengths)]
+        self.items = [(i, w) for i, t in items for w in [word_hashes(t, known)] if len(w)]
+        of = {n: masks_of(n) for n in {len(w) for _, w in self.items}}
+        self.masks = sorted({m for masks in of.values() for m in masks})
+        self.length = np.array([len(w) for _, w in self.items], int)
         found = []
         for k, (_, w) in enumerate(self.items):
-            masks = MASKS if len(w) >= shortest else ["1" * len(w)]
-            for m in masks:
+            for m in of[len(w)]:
                 s = seeds(w, m)
                 found.append((s, np.full(len(s), k), np.arange(len(s))))
         parts = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.uint64), *[np.zeros(0, int)] * 2]
@@ -115,8 +142,15 @@ class Index:
             p = np.repeat(p, n)
             doc = np.searchsorted(first, p, "right") - 1
             places.append(np.unique(np.stack([doc, self.item[entry], p - self.at[entry]], 1), axis=0))
+        places = np.unique(np.concatenate(places), axis=0)
+        # The smallest items must be equal as a whole, so that their first place within a document says all.
+        doc, item, shift = places.T
+        small = self.length[item] < MIN_ITEM
+        whole = places[small & (shift >= first[doc]) & (shift + self.length[item] <= first[doc + 1])]
+        whole = whole[np.unique(whole[:, :2], axis=0, return_index=True)[1]]
+        places = np.concatenate([places[~small], whole])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, k, shift in np.unique(np.concatenate(places), axis=0).tolist():
+        for d, k, shift in places.tolist():
             item = self.items[k][1]
             a, b = max(shift, int(first[d])), min(shift + len(item), int(first[d + 1]))
             if b <= a:
@@ -126,7 +160,9 @@ class Index:
             end = int((total - np.minimum.accumulate(total)).argmax())
             begin = int(total[: end + 1].argmin())
             equal = int(same[begin:end].sum())
-            if equal >= min(MIN_WORDS, -(-len(item) * 4 // 5)) and equal > best.get((d, k), (0, 0))[0]:
+            if equal < needed(len(item)) and len(item) <= SHORT:
+                begin, equal = int(same.argmax()), int(same.sum())
+            if equal >= needed(len(item)) and equal > best.get((d, k), (0, 0))[0]:
                 best[d, k] = (equal, a + begin - int(first[d]))
         return [(d, k, n, len(self.items[k][1]), at) for (d, k), (n, at) in sorted(best.items())]
 

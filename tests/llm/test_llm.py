@@ -572,6 +572,29 @@ def test_items_against_brute_force(spark, docs, sf_dir):
     assert {(r.doc_id, r.item_id) for r in decontam.find_items(docs, bench, "doc_id").collect()} == want
 
 
+def test_short_items_with_replaced_words(spark):
+    """Items of 1 to 16 words bear any choice of replaced words within their share, and no more."""
+    import itertools
+
+    items, rows, want = [], [], set()
+    for n in range(1, 17):
+        w = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        for r in range(4):
+            for out in itertools.combinations(range(n), r):
+                for edge in ("", "before it "):
+                    text = [f"new{i}" if i in out else x for i, x in enumerate(w)]
+                    rows.append((len(rows), edge + " ".join(text)))
+                    if 5 * (n - r) >= 4 * n:
+                        want.add((len(rows) - 1, n))
+    items += [(20, "漢字仮名交じり文"), (21, "มานะมานีปิติชูใจ"), (22, "yes")]
+    rows += [(len(rows), "前漢字仮名変じり文後"), (len(rows) + 1, "ดูมานะมานีปิติชูใจนะ"), (len(rows) + 2, "yes yes no yes")]
+    want |= {(rows[-3][0], 20), (rows[-2][0], 21), (rows[-1][0], 22)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.find_items(df, spark.createDataFrame(items, "item_id long, text string"), "doc_id").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 # all ---------------------------------------------------------------------------------------
 
 
