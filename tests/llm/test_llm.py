@@ -607,4 +607,4 @@ def test_a_query_for_each_operator():
     import __spark_entry__ as registered
 
     names = [q for q in registered.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in names) == list(range(1, 14))
