@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +42,8 @@ MIN_LENGTH, MIN_COUNT = 6, 5
 RATIO = 5
 #: One run in so many (by the crc32 of document and run) is misspelt by a letter left out.
 MISSPELT = 199
-#: Lists of more words are cut again.
-GROUP = 2_000
+#: Lists of more words are cut again; a task scans about so many rows of lists.
+GROUP, TASK_ROWS = 2_000, 25_000
 
 
 def misspelt(doc_id: Column, run: Column) -> Column:
@@ -188,7 +187,10 @@ def _pairs(words: list[str], m: int, left: int, right: int) -> Iterator[tuple[st
 
 def near_pairs(words: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, b): the pairs of words that differ by one inserted, deleted or replaced character."""
-    lists = sorted_lists(words, group).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    lists = materialize(sorted_lists(words, group).select("word", *_KEY), "list-rows")
+    # Scanning costs far more than its rows' bytes tell, so tasks are cut by rows.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), lists.count() // TASK_ROWS)
+    lists = lists.repartition(tasks, *_KEY).sortWithinPartitions(*_KEY)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -204,7 +206,7 @@ def near_pairs(words: DataFrame, group: int = GROUP) -> DataFrame:
         if len(held) > 1:
             yield pd.DataFrame(list(_pairs(held, *key[:3])), columns=["a", "b"], dtype=object)
 
-    return lists.select("word", *_KEY).mapInPandas(find, "a string, b string").distinct()
+    return lists.mapInPandas(find, "a string, b string").distinct()
 
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
