@@ -1,16 +1,8 @@
-"""Nearest neighbours by Euclidean distance: exact, and approximate.
-
-Exact: a context of checked small size is broadcast, and queries stream past it
-in Arrow batches without a shuffle. A larger context is split into cells around
-pivots; the triangle inequality tells which cells can hold a neighbour of a
-query. Cells are cut into blocks of bounded size and the queries sent to a cell
-into slices of bounded size, so a cell that holds a third of all rows is many
-tasks. A task returns k rows per query, never its pairs.
-
-Approximate: every vector gets a sort code per random projection; a query is
-compared with the context rows next to it in each sort order, which are found by
-an equi-join on a dense rank. Each query meets a fixed number of rows, however
-many share a code.
+"""Nearest neighbours by Euclidean distance.
+
+A context of checked small size is broadcast, and queries stream past it in Arrow batches
+without a shuffle. A larger one is joined by pivots (``pivot_join``), exactly.
+Approximate search uses a saved index (``vector_index``).
 """
 
 from __future__ import annotations
@@ -26,14 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import key_hash
 from ..sources.stage import fits_rows, materialize
-from .sampling import sample_exact
+from .pivot_join import PivotJoin
 from .windows import running_totals
 
 BROADCAST_ROWS = 8_192  # contexts up to here are broadcast, if also within the bytes below
 BROADCAST_BYTES = 256 << 20
 BLOCK_ROWS = 4_096
 SLICE_ROWS = 16_384
-PIVOTS = 64
 _WORK_BYTES = 128 << 20
 
 _OUT = "query_id bigint, context_id bigint, dist double"
@@ -43,11 +34,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """One column per pivot; one pivot at a time keeps the memory at a batch."""
-    return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-
-
 def top_k(query_ids, queries, context_ids, context, k: int) -> pd.DataFrame:
     """The k nearest context rows of every query, ties by id.
 
@@ -96,65 +82,10 @@ def _broadcast_join(queries: DataFrame, context: DataFrame, k: int) -> DataFrame
     return queries.mapInPandas(scan, _OUT)
 
 
-def _cell_join(queries: DataFrame, context: DataFrame, k: int, pivots: int, block_rows: int, slice_rows: int, seed: int) -> DataFrame:
-    sc = queries.sparkSession.sparkContext
-    centres = sc.broadcast(_matrix(sample_exact(context, pivots, "id", seed).toPandas()["vec"]))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centres.value
-        for b in batches:
-            if not len(b):
-                continue
-            v = _matrix(b["vec"])
-            d = _pivot_distances(v, c)
-            cell = d.argmin(axis=1)
-            yield b.assign(cell=cell.astype("int32"), radius=d[np.arange(len(v)), cell])
-
-    placed = materialize(context.mapInPandas(assign, "id bigint, vec array<double>, cell int, radius double"), "cells")
-    rank = F.row_number().over(W.partitionBy("cell").orderBy("radius"))
-    kth = placed.select("cell", "radius").withColumn("_r", rank).where(F.col("_r") <= k).groupBy("cell").agg(
-        F.max("radius").alias("kth"), F.count(F.lit(1)).alias("have"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"))
-    cells = stats.join(kth, "cell").orderBy("cell").toPandas()  # one row per pivot
-    info = sc.broadcast({c: cells[c].to_numpy() for c in cells.columns})
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, i = centres.value, info.value
-        for b in batches:
-            if not len(b):
-                continue
-            v = _matrix(b["vec"])
-            d = _pivot_distances(v, c[i["cell"]])
-            # k rows are no farther than this: through the pivot of a cell that has k.
-            bound = np.where(i["have"] >= k, d + i["kth"], np.inf).min(axis=1)
-            nearest = d.min(axis=1)
-            slack = 1e-9 * (1.0 + d.max())
-            reach = np.maximum(d - i["radius"], (d - nearest[:, None]) / 2.0)
-            rows, cols = np.nonzero(reach <= bound[:, None] + slack)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[rows], "cell": i["cell"][cols].astype("int32")})
-
-    routed = materialize(queries.mapInPandas(route, "id bigint, cell int"), "routed")
-    sizes = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("visits")).join(F.broadcast(stats.select("cell", "n")), "cell")
-    plan = materialize(sizes.select(
-        "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"),
-        F.ceil(F.col("visits") / slice_rows).cast("int").alias("slices")), "cell-plan")
-    small = F.broadcast(plan)  # one row per pivot
-    bucket = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
-    left = routed.join(small, "cell").withColumn("slice", bucket("id", F.col("slices"))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(queries, "id").select("cell", "block", "slice", "id", "vec")
-    right = placed.join(small, "cell").withColumn("block", bucket("id", F.col("blocks"))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "block", "slice", "id", "vec")
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return top_k(np.array([], "int64"), np.zeros((0, 1)), np.array([], "int64"), np.zeros((0, 1)), k)
-        return top_k(q["id"].to_numpy("int64"), _matrix(q["vec"]), c["id"].to_numpy("int64"), _matrix(c["vec"]), k)
-
-    keys = ["cell", "block", "slice"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, _OUT)
-    best = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "context_id"))
-    return near.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+def smallest_ids(context: DataFrame, k: int) -> DataFrame:
+    """At most k rows of each distinct vector, those with the smallest ids: no others can be among the k nearest."""
+    rank = F.row_number().over(W.partitionBy("vec").orderBy("id"))  # limited to k before the shuffle
+    return context.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def _sides(queries, context, key, vector):
@@ -164,7 +95,7 @@ def _sides(queries, context, key, vector):
 
 def nearest(
     queries: DataFrame, context: DataFrame, key: str, vector: str, k: int = 1, broadcast_rows: int = BROADCAST_ROWS,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS, seed: int = 253,
+    pivots: int | None = None, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS, seed: int = 253,
 ) -> DataFrame:
     """Exact k nearest context rows of every query: (query_id, context_id, dist)."""
     q, c = _sides(queries, context, key, vector)
@@ -174,7 +105,8 @@ def nearest(
         raise ValueError("the context is empty")
     if fits_rows(c, broadcast_rows) and broadcast_rows * probe["n"] * 8 <= BROADCAST_BYTES:
         return _broadcast_join(q, c, k)
-    return _cell_join(materialize(q, "queries"), c, k, pivots, block_rows, slice_rows, seed)
+    few = materialize(smallest_ids(c, k), "context")
+    return PivotJoin(materialize(q, "queries"), few, k, top_k, pivots, block_rows, slice_rows, seed).result()
 
 
 def class_distances(queries: DataFrame, context: DataFrame, key: str, vector: str, positive: str) -> DataFrame:
@@ -209,41 +141,6 @@ def adjacent_in_order(context: DataFrame, queries: DataFrame, order: list[str],
     return wanted.join(rows, ["tree", "_rank"]).select("query_id", "context_id").distinct()
 
 
-def nearest_approx(
-    queries: DataFrame, context: DataFrame, key: str, vector: str, k: int = 5, trees: int = 10, width: int = 16,
-    bits: int = 24, seed: int = 253,
-) -> DataFrame:
-    """Approximate k nearest context rows, with exact distances."""
-    q, c = (materialize(s, "ann") for s in _sides(queries, context, key, vector))
-    dim = len(c.select("vec").head()["vec"])
-
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(seed).standard_normal((dim, trees * (bits + 1)))
-        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-        for b in batches:
-            if not len(b):
-                continue
-            p = (_matrix(b["vec"]) @ planes).reshape(len(b), trees, bits + 1)
-            code = ((p[:, :, :bits] > 0) * weights).sum(axis=2)
-            yield pd.DataFrame({
-                "tree": np.tile(np.arange(trees, dtype="int32"), len(b)), "id": np.repeat(b["id"].to_numpy("int64"), trees),
-                "code": code.ravel(), "along": p[:, :, bits].ravel()})
-
-    schema = "tree int, id bigint, code bigint, along double"
-    pairs = adjacent_in_order(c.mapInPandas(codes, schema), q.mapInPandas(codes, schema), ["code", "along"], width)
-    with_vectors = pairs.join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")), "query_id").join(
-        c.select(F.col("id").alias("context_id"), F.col("vec").alias("_c")), "context_id")
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        diff = _matrix(a) - _matrix(b)
-        return pd.Series(np.sqrt((diff * diff).sum(axis=1)))
-
-    scored = with_vectors.select("query_id", "context_id", distance("_q", "_c").alias("dist"))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "context_id"))
-    return scored.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
-
-
 def split_half(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
     """A reproducible half as context, the rest as queries."""
     first = F.substring(key_hash(key, seed=seed), 1, 1) < "8"

@@ -5,8 +5,12 @@ from check_oracle import compare, connect
 
 from sievespark.plans.catalog import ORACLES, QUERIES
 
-# Slow fits; tools/check_oracle.py runs them.
-SLOW = {"m4_network_targets", "m1_boosted_per_group", "m2_boosted_all_rows", "m11_fit_validate_predict"}
+# Slow fits; tools/check_oracle.py runs them. The histogram fits took 137 s (m1) and 160 s (m2) at sf0.01
+# and are tested in test_boosting on smaller tables.
+SLOW = {
+    "m4_network_targets", "m1_boosted_per_group", "m2_boosted_all_rows", "m11_fit_validate_predict",
+    "m1_histogram_boosting", "m2_continued_over_files",
+}
 
 
 @pytest.fixture(scope="module")

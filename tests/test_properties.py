@@ -114,17 +114,6 @@ def test_nearest_equals_brute_force_with_copies(spark, path):
         assert np.allclose([d for d, _ in sorted(got[q])], [d for d, _ in want], atol=1e-9)
 
 
-def test_approximate_neighbours_recall(spark, sf_dir):
-    df = t.table(spark, sf_dir, "embeddings")
-    context, queries = neighbours.split_half(df, "vec_id", 21)
-    exact = values(neighbours.nearest(queries, context, "vec_id", "embedding", 5), "query_id", "context_id")
-    approx = neighbours.nearest_approx(queries, context, "vec_id", "embedding", 5, trees=10, width=12)
-    per_query = approx.groupBy("query_id").count()
-    assert per_query.count() == queries.count() and per_query.agg(F.max("count")).head()[0] == 5
-    hits = len(set(exact) & set(values(approx, "query_id", "context_id")))
-    assert hits / len(exact) > 0.6
-
-
 @pytest.mark.parametrize("path", [{}, {"block_rows": 3, "slice_rows": 4}])
 def test_similarities_equal_brute_force(spark, path):
     rng = np.random.default_rng(1)
