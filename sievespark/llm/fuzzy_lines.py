@@ -10,10 +10,12 @@ Linked lines form components by distributed union-find, and the first line of a
 (smallest document id, then place) stays; all others are removed. Lines without a word
 always stay.
 
-Candidates don't grow with the square of a group: every line of a band is compared with
-the band's most frequent line, to which variants of a line mostly link. Lines of a band
-in which several components are left are then joined without loss by their rarest
-shingles: similar lines share one of the first fifth in an order by frequency, at places
+Candidates are checked in two steps: first by their sketches, the smallest hashes of
+each signature, of which similar lines share most; then by the sets of all shingles.
+They don't grow with the square of a group. Every line of a band is compared with the band's most frequent
+line, to which variants of a line mostly link. What is left unlinked in a band of up to
+``LARGE`` lines is compared pair by pair; in a larger one, lines are joined without loss by band and
+rarest shingles: similar lines share one of the first fifth in an order by frequency, at places
 that leave room for the overlap they need. Pairs within a component are not compared.
 
 Scale: what is shuffled per line are a few longs. Equal lines are one node. Texts are
@@ -28,6 +30,7 @@ no rows; extra columns pass through ``keep_first_lines`` and are not read otherw
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,10 @@ SIMILARITY = 0.8
 SIGNED, COMPARED = 9, 5
 #: Lines of fewer word starts than SPARSE are signed by every shingle, those of DENSE or more by word starts.
 DENSE, SPARSE = 8, 12
+#: Hashes of a sketch, and the share of them that lines must have in common to be compared (similar ones share 0.8 and more).
+SKETCH, PLAUSIBLE = 16, 0.4
+#: Bands of more lines are joined by rare shingles.
+LARGE = 64
 #: Frequencies of shingles are counted in so many buckets; they only order the shingles.
 BUCKETS = 1 << 14
 _SPACE = " \t\x0b\x0c\r"
@@ -97,8 +104,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def sketch(hashes: str) -> Column:
+    """The smallest of the sorted hashes, four bytes each."""
+    return F.transform(F.slice(hashes, 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't empty: where it is, its hash, and its bands."""
+    """One row per line that isn't empty: where it is, its hash, its bands, and a sketch of each signature it has."""
     lines = docs.select("doc", "check", F.posexplode(normal_lines(F.col("text"))).alias("place", "line")).where("line <> ''")
     hashed = lines.select(
         "doc", "check", "place", F.xxhash64("line").alias("h"),
@@ -110,9 +122,23 @@ def line_table(docs: DataFrame) -> DataFrame:
     return hashed.select(
         "doc", "check", "place", "h",
         F.when(~few, starts).when(F.size("starts") < DENSE, every).otherwise(F.array_distinct(F.concat(every, starts))).alias("bands"),
+        F.when(few, sketch("every")).alias("by_place"), F.when(F.size("starts") >= DENSE, sketch("starts")).alias("by_word"),
     )
 
 
+SKETCHES = ["by_place", "by_word"]
+
+
+def plausible(a: str, b: str) -> Column:
+    """Whether two lines may be similar, by the signatures that both have."""
+
+    def alike(name: str) -> Column:
+        x, y = F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
+        return F.coalesce(F.size(F.array_intersect(x, y)) >= F.lit(PLAUSIBLE) * F.least(F.size(x), F.size(y)), F.lit(False))
+
+    return alike("by_place") | alike("by_word")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough."""
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("x"))
@@ -134,43 +160,53 @@ def candidate_lines(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> Dat
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(key, a, b): each line of a key with the key's most frequent line, the smaller hash first."""
-    rep = members.groupBy("key").agg(F.max_by("h", F.struct("copies", "h")).alias("rep"))
-    pairs = members.join(rep, "key").where("h <> rep")
-    return pairs.select("key", F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+    """(a, b): each line of a key with the key's most frequent line, if plausible; the smaller hash first."""
+    line = F.struct("h", *SKETCHES)
+    rep = members.groupBy("key").agg(F.max_by(line, F.struct("copies", "h")).alias("rep"))
+    pairs = members.select("key", line.alias("own")).join(rep, "key").where((F.col("own.h") != F.col("rep.h")) & plausible("own", "rep"))
+    return pairs.select(F.least("own.h", "rep.h").alias("a"), F.greatest("own.h", "rep.h").alias("b")).distinct()
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """(a, b): all plausible pairs of different labels in keys of at most LARGE lines."""
+    line = F.struct("h", "label", *SKETCHES)
+    a, b = (members.select("key", line.alias(name)) for name in "ab")
+    both = a.join(b, "key").where((F.col("a.h") < F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & plausible("a", "b"))
+    return both.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
 def rare_shingles(lines: DataFrame) -> DataFrame:
-    """(h, label, n, at, shingle): of each line's n shingles those of which similar lines share one, rarest first.
+    """(key, h, label, n, at, shingle): of each line's n shingles those of which similar lines share one, rarest first.
 
     Of two sets whose Jaccard coefficient is SIMILARITY or more, each holds at least
     SIMILARITY of its own members in common, so the rarest common one is among these.
     """
-    hashed = materialize(lines.select("h", "label", shingles(F.col("line")).alias("s")), "shingles")
+    hashed = materialize(lines.select("key", "h", "label", shingles(F.col("line")).alias("s")), "shingles")
     bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
     counted = hashed.select(F.explode(F.transform("s", bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    counts = counted.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
-    counts = counts.select(
-        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("counts", i.cast("long")), F.lit(0))).alias("counts")
-    )
+    every = lines.sparkSession.range(BUCKETS).join(counted, F.col("id") == F.col("bucket"), "left")
+    counts = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n"))))["n"].alias("counts"))
     ordered = hashed.crossJoin(F.broadcast(materialize(counts, "counts"))).select(
-        "h", "label", F.size("s").alias("n"),
+        "key", "h", "label", F.size("s").alias("n"),
         F.sort_array(F.transform("s", lambda x: F.struct(F.get("counts", bucket(x).cast("int")).alias("c"), x.alias("x")))).alias("s"),
     )
     first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    return ordered.select("h", "label", "n", F.posexplode(F.transform(F.slice("s", F.lit(1), first), lambda x: x["x"])).alias("at", "shingle"))
+    return ordered.select("key", "h", "label", "n", F.posexplode(F.transform(F.slice("s", F.lit(1), first), lambda x: x["x"])).alias("at", "shingle"))
 
 
 def close_lines(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different labels that hold all similar ones."""
-    entries = materialize(rare_shingles(lines), "rare")
-    of = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("shingle")
-    entries = entries.join(of, "shingle")
-    x, y = (entries.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "label", "n", "at")]) for k in "ab")
+    """Pairs (a, b) of lines of a key and of different labels that hold all similar ones.
+
+    Lines meet by key, shingle and size: the sizes of similar lines are at most one class apart.
+    """
+    entries = rare_shingles(lines).withColumn("size", F.floor(F.log("n") / F.lit(-math.log(SIMILARITY))).cast("int"))
+    entries = materialize(entries, "rare")
+    x, y = (entries.select("key", "shingle", "size", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "label", "n", "at")]) for k in "ab")
+    y = y.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
     # The common members from this one on, at most, if it is the first: they must reach the similarity.
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     need = F.lit(SIMILARITY) * (F.col("n_a") + F.col("n_b")) - F.lit(SIMILARITY) * room - F.lit(1e-9)
-    both = x.join(y, "shingle").where((F.col("h_a") < F.col("h_b")) & (F.col("label_a") != F.col("label_b")) & (room >= need))
+    both = x.join(y, ["key", "shingle", "size"]).where((F.col("h_a") < F.col("h_b")) & (F.col("label_a") != F.col("label_b")) & (room >= need))
     return both.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
 
 
@@ -179,15 +215,20 @@ def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     banded = table.select("h", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top")).where("low <> top").select("key")
     bands_of = materialize(banded.join(shared, "key").groupBy("key", "h").agg(F.count("*").alias("copies")), "bands")
-    lines = materialize(candidate_lines(docs, table, bands_of.select("h").distinct()).dropDuplicates(["h"]), "candidates")
-    links = materialize(_verified(_stars(bands_of).select("a", "b").distinct(), lines), "links")
+    wanted = bands_of.select("h").distinct()
+    sketches = table.select("h", *SKETCHES).join(wanted, "h").dropDuplicates(["h"])
+    members = materialize(bands_of.join(sketches, "h"), "members")
+    stars = materialize(_stars(members), "stars")
+    lines = materialize(candidate_lines(docs, table, wanted).dropDuplicates(["h"]), "candidates")
+    links = materialize(_verified(stars, lines), "links")
     labels = materialize(components(links), "star-labels")
-    placed = bands_of.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
-    placed = materialize(placed, "bands")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("key")
-    left = placed.join(mixed, "key").select("h", "label").distinct()
-    rest = materialize(_verified(materialize(close_lines(lines.join(left, "h")), "pairs"), lines), "links")
-    return links.union(rest)
+    placed = members.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count("*").alias("n"))
+    mixed = materialize(mixed.where("low <> top").select("key", "n"), "mixed")
+    left = materialize(placed.join(mixed, "key").select("key", "n", "h", "label", *SKETCHES), "unlinked")
+    pairs = _pairs(left.where(F.col("n") <= LARGE)).union(close_lines(left.where(F.col("n") > LARGE).select("key", "h", "label").join(lines, "h")))
+    pairs = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    return links.union(materialize(_verified(pairs, lines), "links"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
