@@ -20,6 +20,17 @@ def running_dictionary(spark, sf_dir):
     return spark.read.schema("value string").parquet(out)
 
 
+@query("t1_stable_ids", """
+    select value, row_number() over (order by value) - 1 as id
+    from (select p_name as value from part union select p_brand from part union select p_type from part)""")
+def stable_ids(spark, sf_dir):
+    """Ids that stay when more files arrive; what one batch brings is numbered in its order."""
+    out = new_path(spark, "stream-ids")
+    stream = inc.arriving(spark, sf_dir, "part")
+    inc.finish(inc.stable_ids(stream, ["p_name", "p_brand", "p_type"], out, new_path(spark, "stream-state")))
+    return inc.ids_of(spark, out).select("value", "id")
+
+
 @query("t2_running_counts", """
     select l_returnflag as grp, l_linestatus as status, count(*) as n from lineitem group by 1, 2""")
 def running_counts(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import checks, joins, keys, pooling, sampling
 from ..operators.entities import consolidate, dictionary, entities, numbered_observations
+from ..operators.hash_tree import HashTrees
 from ..operators.splits import hold_out, novel_share, tag_shared
 from ..sources import tables as t
 from ..sources.stage import materialize
@@ -313,14 +314,24 @@ def score_quality(spark, sf_dir):
     return checks.score_quality(rows, "v")
 
 
-@query("c7_differing_rows", """
+DIFFERING_SQL = """
     select coalesce(a.entity, r.entity) as entity, a.label as label_left, r.label as label_right
     from """ + ALIGN_SQL.format("A") + " a full join " + ALIGN_SQL.format("R") + """ r on a.entity = r.entity
-    where a.entity is null or r.entity is null or a.label is distinct from r.label""")
+    where a.entity is null or r.entity is null or a.label is distinct from r.label"""
+
+
+@query("c7_differing_rows", DIFFERING_SQL)
 def differing_rows(spark, sf_dir):
     return checks.differing_rows(group_labels(spark, sf_dir, "A"), group_labels(spark, sf_dir, "R"), "entity", ["label"])
 
 
+@query("c7_hash_tree", DIFFERING_SQL)
+def hash_tree_rows(spark, sf_dir):
+    """The same for written tables too large to join whole: only rows of leaves that differ are joined."""
+    sides = [materialize(group_labels(spark, sf_dir, g), "side") for g in ("A", "R")]
+    return HashTrees(*sides, "entity", ["label"]).differing_rows()
+
+
 @query("c8_probabilities", """
     select count(*) as n_rows, count(*) filter (abs(a + b + c - 1) > 1e-8 + 1e-5) as bad_sums,
            count(*) filter (a < 0 or a > 1 or b < 0 or b > 1 or c < 0 or c > 1) as outside_range

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from ..operators import graphs, reduce, textfeatures
+from ..operators import graphs, reduce, textfeatures, wide_reduction, wordvectors
 from ..operators.entities import dictionary, entities
 from ..operators.joins import star_features
 from ..operators.pooling import explode_vector
@@ -238,6 +238,15 @@ def reduction(spark, sf_dir):
         "vec_id", "reduced", F.lit(fitted.components).alias("components"), F.lit(fitted.explained).alias("explained"))
 
 
+@query("f11_wide_reduction")
+def wide(spark, sf_dir):
+    """The same by passes over the rows, as for lists too wide for a covariance matrix."""
+    rows = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fitted = wide_reduction.fit_wide_reduction(rows, "embedding", cutoff=0.9)
+    return fitted.transform(rows, "embedding").select(
+        "vec_id", "reduced", F.lit(fitted.components).alias("components"), F.lit(fitted.explained).alias("explained"))
+
+
 @query("f12_apply_fitted")
 def apply_fitted(spark, sf_dir):
     """Fit on one half, save, reload, apply to the other half."""
@@ -292,10 +301,9 @@ def entity_features(spark, sf_dir):
 
 @query("f5_sentence_vectors")
 def sentence_vectors(spark, sf_dir):
-    """Vectors of 16 numbers: the shape of the features doesn't depend on it, the time to fit them does."""
+    """Vectors of 300 numbers, fitted on all texts; mean, max and sum per text."""
     docs = t.texts(spark, sf_dir)
-    model = textfeatures.fit_word_vectors(docs, "text", size=16)
-    return textfeatures.sentence_vectors(docs, "doc_id", "text", model)
+    return wordvectors.sentence_vectors(docs, "doc_id", "text", wordvectors.fit_word_vectors(docs, "text"))
 
 
 @query("f2_word_counts", f"select doc_id, len({W_ARRAY})::int as words from documents")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.windows import dense_index
+from ..sources.stage import path_exists
 from ..sources.tables import schema_of
 
 
@@ -41,6 +43,34 @@ def running_dictionary(stream: DataFrame, cols: Sequence[str], out: str, checkpo
     )
 
 
+def stable_ids(stream: DataFrame, cols: Sequence[str], out: str, checkpoint: str, name: str = "value") -> StreamingQuery:
+    """Number each value when it is first seen; it keeps its id over batches and restarts, and ids are dense.
+
+    The keyed state of the deduplication lets only new values through. A batch numbers its
+    own in their order, from the count of all earlier batches on, and writes them to a
+    folder of its number: a batch that is repeated finds the same values, the same
+    start and so the same ids.
+    """
+    values = stream.select(F.explode(F.array(*cols)).alias(name)).where(F.col(name).isNotNull())
+
+    def number(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # A new batch has a higher number; a repeated one must not count itself.
+        start = ids_of(spark, out, name).where(F.col("batch") < batch_id).count() if batch_id and path_exists(spark, out) else 0
+        rows = dense_index(batch, [name], "id")
+        rows.select(name, (F.col("id") + start).alias("id")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        values.dropDuplicates([name]).writeStream.foreachBatch(number).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def ids_of(spark: SparkSession, out: str, name: str = "value") -> DataFrame:
+    """The values numbered so far, with the batch that saw them first."""
+    return spark.read.schema(f"{name} string, id bigint, batch int").parquet(out)
+
+
 def running_counts(stream: DataFrame, cols: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of row counts per combination; each batch replaces it.
 

@@ -1,5 +1,6 @@
 """Streaming over arriving files, and stages that are skipped when complete."""
 
+import pytest
 from conftest import values
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -23,6 +24,38 @@ def test_files_that_arrive_later(spark, sf_dir):
         assert values(inc.latest_counts(spark, counts), "p_type", "n") == values(seen.groupBy("p_type").count())
 
 
+def test_ids_stay_over_batches_and_restarts(spark, sf_dir, monkeypatch):
+    folder, out, state = (stage.new_path(spark, n) for n in ("in", "out", "state"))
+    parts = t.table(spark, sf_dir, "part")
+    cols = ["p_name", "p_brand"]
+    halves = [parts.where("p_partkey < 60"), parts.where("p_partkey between 60 and 120"), parts.where("p_partkey > 120")]
+
+    def run():
+        inc.finish(inc.stable_ids(inc.arriving(spark, folder, "part", "*.parquet", files_per_batch=1), cols, out, state))
+        return {r["value"]: r["id"] for r in inc.ids_of(spark, out).collect()}
+
+    halves[0].coalesce(1).write.mode("append").parquet(folder)
+    first = run()
+    for half in halves[1:]:
+        half.coalesce(1).write.mode("append").parquet(folder)
+    # The run is cut after a batch's ids are written, before the batch is finished.
+    real = inc.dense_index
+
+    def cut(batch, *args):
+        rows = real(batch, *args)
+        rows.selectExpr("value", "id + 1000 as id").write.mode("overwrite").parquet(f"{out}/batch=1")
+        raise RuntimeError("cut")
+
+    monkeypatch.setattr(inc, "dense_index", cut)
+    with pytest.raises(Exception, match="cut"):
+        run()
+    monkeypatch.setattr(inc, "dense_index", real)
+    every = run()
+    assert {v: every[v] for v in first} == first and sorted(every.values()) == list(range(len(every)))
+    assert set(every) == {r[0] for r in parts.select(F.explode(F.array(*cols))).distinct().collect()}
+    assert run() == every
+
+
 def test_repeated_batch_overwrites_itself(spark, sf_dir):
     out = stage.new_path(spark, "sink")
     for _ in range(2):  # a new checkpoint makes the same batch number run again

@@ -41,8 +41,7 @@ def found(df):
 
 
 @pytest.mark.parametrize("sizes", [{"block_rows": 20, "slice_rows": 15}, {"pivots": 1, "block_rows": 50}, {"pivots": 600, "block_rows": 4}])
-@pytest.mark.parametrize("k", [1, 6])
-def test_pivot_join_equals_brute_force(spark, sizes, k):
+def test_pivot_join_equals_brute_force(spark, sizes, k=6):
     rows = clustered(700)
     df = frame(spark, rows)
     ids = np.arange(len(rows))
