@@ -3,17 +3,18 @@
 Method: every line is normalised (lower case, digits to 0, white space collapsed)
 and hashed. For each host (``source``) the documents that hold a line are counted;
 a line found in more than ``min_docs`` documents and more than 1 in ``per_docs`` of
-the host's documents is boilerplate and is removed. A document is depleted, and
-rejected, if fewer than ``min_words`` words or less than half of its words are left.
+the host's documents, or in more than ``max_docs`` whatever the host's size, is
+boilerplate and is removed. A document is depleted, and rejected, if fewer than
+``min_words`` words or less than half of its words are left.
 
 Scale: the text is read once. All figures of one document are computed within its
 row; what is shuffled is one (host, line hash) pair for each distinct line of a
 document, summed before the shuffle, and then the lines against the boilerplate
-lines, a join that adaptive execution splits where one line is very common. Both
+lines, a join that adaptive execution splits where one line is very common. The
 limits are ratios or constants, so they mean the same at every size.
 
 Cases: a null text is empty (0 words, base_failed); a null host is a host of its
-own; repeated rows each get a row and each count as a document; an empty table
+own, apart from the host ``""``; repeated rows each get a row and each count as a document; an empty table
 gives an empty result; extra columns are not read.
 """
 
@@ -27,10 +28,12 @@ from .common import documents, with_text, words_of
 
 MIN_DOCS = 10
 PER_DOCS = 50
+MAX_DOCS = 1000
 MIN_WORDS = 50
 
-# Positions share a long with the upper bits of a window's hash.
-_POSITION_BITS = 24
+# Positions share a long with the upper bits of a window's hash. A string of 2 GB, the
+# longest there can be, has at most 2^30 words.
+_POSITION_BITS = 30
 _POSITION = (1 << _POSITION_BITS) - 1
 
 
@@ -89,7 +92,8 @@ def with_repeat_words(df: DataFrame) -> DataFrame:
 
 def document_figures(docs: DataFrame) -> DataFrame:
     """One row per document: its counts and its normalised lines as (hash, words)."""
-    df = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
+    host = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    df = docs.select("doc_id", host.alias("host"), "text")
     df = df.withColumn("words", words_of(F.col("text")))
     df = df.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_normal", normalised_lines(F.col("text")))
@@ -109,21 +113,29 @@ def document_figures(docs: DataFrame) -> DataFrame:
     return with_repeat_words(df).drop("words").withColumn("row", F.monotonically_increasing_id())
 
 
-def common_lines(figures: DataFrame, min_docs: int = MIN_DOCS, per_docs: int = PER_DOCS) -> DataFrame:
+def common_lines(
+    figures: DataFrame, min_docs: int = MIN_DOCS, per_docs: int = PER_DOCS, max_docs: int = MAX_DOCS
+) -> DataFrame:
     """(host, h) of the lines that too many documents of a host hold."""
     held = figures.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = held.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     sizes = figures.groupBy("host").agg(F.count("*").alias("docs"))
-    return counted.join(sizes, "host").where(F.col("n") * per_docs > F.col("docs")).select("host", "h")
+    many = (F.col("n") * per_docs > F.col("docs")) | (F.col("n") > max_docs)
+    return counted.join(sizes, "host").where(many).select("host", "h")
 
 
 def line_frequency_rules(
-    docs: DataFrame, min_docs: int = MIN_DOCS, per_docs: int = PER_DOCS, min_words: int = MIN_WORDS
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    per_docs: int = PER_DOCS,
+    min_words: int = MIN_WORDS,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document with its counts, the words left after line removal, and the verdict."""
     figures = materialize(document_figures(with_text(docs, "source")), "quality")
     lines = figures.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    removed = lines.join(common_lines(figures, min_docs, per_docs), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("cut"))
+    common = common_lines(figures, min_docs, per_docs, max_docs)
+    removed = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("cut"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("cut", F.lit(0))
     return figures.drop("lines").join(removed, "row", "left").select(
@@ -140,7 +152,7 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
+with d as (select row_number() over () as r, doc_id, coalesce('=' || source, '') as host, coalesce(text, '') as text from documents),
 w as (select r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
 tri as (select r, unnest(generate_series(1, len(words) - 2)) as i, words from w where len(words) >= 3),
 win as (select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as s from tri),
@@ -153,7 +165,7 @@ norm as (select r, host, trim(l, ' ') as line from (select r, host, unnest(strin
   '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) as l from d) where trim(l, ' ') <> ''),
 freq as (select host, line, count(distinct r) as n from norm group by host, line),
 size as (select host, count(*) as docs from d group by host),
-common as (select f.host, line from freq f join size s on f.host = s.host where n > 10 and n * 50 > docs),
+common as (select f.host, line from freq f join size s on f.host = s.host where n > 10 and (n * 50 > docs or n > 1000)),
 cut as (select r, sum(len(string_split(n.line, ' '))) as n from norm n join common c on n.host = c.host and n.line = c.line group by r),
 f as (select w.doc_id, len(words)::bigint as n_words,
   coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
