@@ -14,11 +14,12 @@ in key ranges; a range is summed in one task and answers each chunk in the chunk
 order, so answers need no keys. A frequent word or bigram is one entry a chunk, however
 often it occurs. The number of ranges follows the input. EM runs on a histogram of
 the deleted fold's tokens (bucket, bigram estimate, word estimate on a logarithmic
-grid, with the mean in each cell), whose size doesn't follow the input.
+grid, with the mean in each cell), whose size doesn't follow the input; each bucket's
+weights are learned in a task of their own, and only they reach the driver.
 
-Words are keyed by 64 bits of a hash. Bigrams are keyed by the last 40 bits of theirs
-within a range of keys: of the about ``RANGE_KEYS`` keys asked for in a range, one in
-half a million is taken for another, at any size of the input.
+Words are keyed by 64 bits of a hash, bigrams by 60 (of a thousand million distinct
+bigrams fewer than one pair is expected to agree). Whole keys are sent, as the
+differences of the sorted keys in as many bytes as the largest needs.
 
 Cases: a null text is empty and has the end token only; repeated rows each get a row;
 without training documents N and V are 0 and every token has the floor; an empty table
@@ -50,7 +51,6 @@ MAIN, LEFT_OUT, TEST = 0, 1, 2
 _START = np.uint64(0x243F6A8885A308D3)
 _END = np.uint64(0x13198A2E03707344)
 _BI_BITS = 60
-_BI_BYTES = 5
 
 
 class _Hashes(dict):
@@ -147,6 +147,24 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _differences(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, of one width, first bytes first; the width is the first byte."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : packed[0]] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _bounds(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     edges = np.array([(r << bits) // ranges for r in range(ranges)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
@@ -167,20 +185,15 @@ def questions(stage: DataFrame, ranges: int) -> DataFrame:
                 for k in range(ranges):
                     x, y = slice(u[k], u[k + 1]), slice(b[k], b[k + 1])
                     if x.stop > x.start or y.stop > y.start:
-                        low = c.bi[y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BI_BYTES].tobytes()
-                        rows.append((k, r["chunk"], r["fold"], c.uni[x].tobytes(), _planes(c.uni_n[x]), low, _planes(c.bi_n[y])))
+                        # From the range's start, so that the first difference is no larger than the rest.
+                        bi = _differences(c.bi[y] - np.uint64((k << _BI_BITS) // ranges))
+                        rows.append((k, r["chunk"], r["fold"], c.uni[x].tobytes(), _planes(c.uni_n[x]), bi, _planes(c.bi_n[y])))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), kinds)], [c.split()[0] for c in _ASK.split(", ")])
 
     return stage.mapInArrow(run, _ASK)
 
 
-def _wide(low: bytes) -> np.ndarray:
-    out = np.zeros((len(low) // _BI_BYTES, 8), np.uint8)
-    out[:, :_BI_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, _BI_BYTES)
-    return out.view("<u8").ravel()
-
-
 _ANSWER = "range long, chunk long, fold int, uni binary, bi binary, vocabulary long"
 
 
@@ -192,7 +205,7 @@ def _answers(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     trained = {}
     out: dict[str, list] = {"uni": [], "bi": []}
-    for kind, keys in (("uni", [np.frombuffer(r["uni"], np.uint64) for r in rows]), ("bi", [_wide(r["bi"]) for r in rows])):
+    for kind, keys in (("uni", [np.frombuffer(r["uni"], np.uint64) for r in rows]), ("bi", [_keys(r["bi"]) for r in rows])):
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate([_numbers(r[kind + "_n"]) for r in rows])
         fold = np.repeat(np.array([r["fold"] for r in rows], np.int8), [len(k) for k in keys])
@@ -234,9 +247,9 @@ def frequency_bucket(n: np.ndarray) -> np.ndarray:
     return np.frexp(n)[1]
 
 
-def _cell(p: np.ndarray) -> np.ndarray:
+def _cell(p: np.ndarray, grid: int) -> np.ndarray:
     """Place of a probability on the logarithmic grid; -1 for 0."""
-    return np.where(p > 0, np.floor(-np.log2(np.maximum(p, 1e-300)) * GRID), -1).astype(np.int64)
+    return np.where(p > 0, np.floor(-np.log2(np.maximum(p, 1e-300)) * grid), -1).astype(np.int64)
 
 
 def learn_weights(cells: list, n_floor: float, rounds: int = EM_ROUNDS) -> dict[int, np.ndarray]:
@@ -279,7 +292,9 @@ def weights_of(weights: dict[int, np.ndarray], buckets: np.ndarray) -> np.ndarra
     return table[buckets]
 
 
-def score_texts(docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int = RANGE_KEYS) -> DataFrame:
+def score_texts(
+    docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int = RANGE_KEYS, grid: int = GRID
+) -> DataFrame:
     """One row per document with its token counts, the base score and the model's score."""
     stage = materialize(chunks(with_text(docs), chunk_words), "lm-chunks")
     sizes = {r["fold"]: r["n"] for r in stage.groupBy("fold").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -296,7 +311,7 @@ def score_texts(docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int
         context = uni[c.context]
         p2 = np.divide(bi[c.pair], context, out=np.zeros(len(context)), where=context > 0)
         p1 = uni[c.token] / max(n_main, 1)
-        keys = (frequency_bucket(context).astype(np.int64) << 40) | (_cell(p2) + 1 << 20) | (_cell(p1) + 1)
+        keys = (frequency_bucket(context).astype(np.int64) << 40) | (_cell(p2, grid) + 1 << 20) | (_cell(p1, grid) + 1)
         cells, place = np.unique(keys, return_inverse=True)
         low = (1 << 20) - 1
         log = lambda p: np.log2(np.where(p > 0, p, 1.0))
@@ -315,7 +330,13 @@ def score_texts(docs: DataFrame, chunk_words: int = CHUNK_WORDS, range_keys: int
         histogram, "bucket long, c2 long, c1 long, n long, l2 double, l1 double"
     )
     cells = cells.groupBy("bucket", "c2", "c1").agg(*[F.sum(x).alias(x) for x in ("n", "l2", "l1")])
-    weights = learn_weights(cells.collect(), floor)  # at most buckets x grid x grid rows
+
+    def learn(table: pa.Table) -> pa.Table:
+        ((bucket, w),) = learn_weights(table.to_pylist(), floor).items()
+        return pa.table({"bucket": [bucket], "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    learned = cells.groupBy("bucket").applyInArrow(learn, "bucket long, w array<double>").collect()  # a row per power of two
+    weights = {r["bucket"]: np.array(r["w"]) for r in learned}
 
     n_all = n_main + n_left
 

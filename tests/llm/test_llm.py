@@ -375,6 +375,73 @@ def test_language_model(table, docs, empty, sizes):
             assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
 
 
+def interpolated_scores(rows, rounds=200):
+    """doc_id -> log10 probability by EM over every token of the deleted fold, without a histogram."""
+    text = {d: [None] + (t or "").encode().lower().split() + ["end"] for d, t in rows}
+    fold = {d: zlib.crc32(str(d).encode()) % 7 for d in text}
+
+    def estimates(folds):
+        uni = collections.Counter(x for d, w in text.items() if fold[d] in folds for x in w)
+        bi = collections.Counter(p for d, w in text.items() if fold[d] in folds for p in zip(w, w[1:]))
+        n = sum(c for x, c in uni.items() if x is not None)
+        return lambda u, v: (uni[u], bi[u, v] / uni[u] if uni[u] else 0.0, uni[v] / n)
+
+    trained = [d for d in text if fold[d] != 2]
+    floor = 1 / (len({x for d in trained for x in text[d][1:]}) + 1)
+    main, every = estimates({0, 1, 4, 5, 6}), estimates({0, 1, 3, 4, 5, 6})
+    tokens = collections.defaultdict(list)
+    for d in trained:
+        if fold[d] == 3:
+            for u, v in zip(text[d], text[d][1:]):
+                n, p2, p1 = main(u, v)
+                tokens[n.bit_length()].append((p2, p1, floor))
+    weights = {}
+    for bucket, p in tokens.items():
+        p, w = np.array(p), np.full(3, 1 / 3) if bucket else np.array([0.0, 0.5, 0.5])
+        for _ in range(rounds):
+            w = (w * p / (p @ w)[:, None]).mean(0)
+            w = np.maximum(w, [1e-6 if bucket else 0.0, 1e-6, 1e-6])
+            w /= w.sum()
+        weights[bucket] = w
+    seen = sorted(k for k in weights if k)
+    out = {}
+    for d, t in text.items():
+        total = 0.0
+        for u, v in zip(t, t[1:]):
+            n, p2, p1 = every(u, v)
+            k = n.bit_length()
+            w = weights.get(0, np.array([0.0, 0.5, 0.5])) if k == 0 else weights[min(seen, key=lambda s: abs(s - k))]
+            total += math.log10(w @ (p2, p1, floor))
+        out[d] = total
+    return out
+
+
+def test_score_equals_brute_force_em(spark):
+    rng = np.random.default_rng(5)
+    starts = rng.integers(0, 40, (40, 4))
+    rows = []
+    for i in range(220):
+        at, words_ = int(rng.integers(40)), []
+        for _ in range(int(rng.integers(0, 60))):
+            words_.append(f"w{at}")
+            at = int(starts[at % 40, rng.integers(4)]) if rng.random() < 0.8 else int(rng.zipf(1.3)) % 300
+        rows.append((i, " ".join(words_)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = interpolated_scores(rows)
+    fine = {r.doc_id: r.score for r in scoring.score_texts(df, 900, 700, grid=1 << 14).collect()}
+    assert max(abs(fine[d] - want[d]) for d in want) < 1e-6
+    usual = {r.doc_id: r.score for r in scoring.score_texts(df).collect()}
+    assert max(abs(usual[d] - want[d]) / max(1, abs(want[d])) for d in want) < 1e-3
+
+
+@pytest.mark.parametrize("top", [1, 2**30, 2**60 - 1])
+def test_keys_survive_as_differences(top):
+    rng = np.random.default_rng(top % 97)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, top, n, endpoint=True).astype(np.uint64))
+        assert np.array_equal(scoring._keys(scoring._differences(keys)), keys)
+
+
 def test_weights_recover_a_mixture():
     rng = np.random.default_rng(1)
     p = rng.random((4000, 2)) * 0.5 + 1e-3
@@ -413,6 +480,25 @@ def test_boilerplate_is_counted_per_host(spark):
     assert not any(got[200 + i].kept for i in range(15))
 
 
+def test_a_null_host_is_not_the_empty_host(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    body = lambda i: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(60))
+    rows = [(i, f"one shared menu\n{body(i)}", None if i % 2 else "") for i in range(16)]
+    rows += [(100 + i, f"another shared menu\n{body(100 + i)}", None) for i in range(12)]
+    rows += [(200 + i, body(200 + i), "=") for i in range(3)]
+    got = {r.doc_id: r.n_words_left for r in quality.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(16)} == {63} and {got[100 + i] for i in range(12)} == {60} and {got[200 + i] for i in range(3)} == {60}
+
+
+def test_a_line_of_very_many_documents_goes_whatever_the_host_size(spark):
+    """31 of 2,000 documents are under the ratio of 1 in 50, and over an absolute limit of 30; 30 are not."""
+    rows = [(i, f"{'often' if i < 31 else 'less' if i < 61 else f'n{i}'} seen\nbody of {i}", "h") for i in range(2000)]
+    rows = [(d, "".join("abcdefghij"[int(c)] if c.isdigit() else c for c in t), h) for d, t, h in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_words_left for r in quality.line_frequency_rules(df, max_docs=30).collect()}
+    assert {got[i] for i in range(31)} == {3} and {got[i] for i in range(31, 2000)} == {5}
+
+
 # 7, 10 -------------------------------------------------------------------------------------
 
 
