@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
-from ..operators import graphs, reduce, textfeatures, wide_reduction, wordvectors
+from ..operators import graph_vectors, graphs, reduce, textfeatures, wide_reduction, wordvectors
 from ..operators.entities import dictionary, entities
 from ..operators.joins import star_features
 from ..operators.pooling import explode_vector
@@ -165,6 +165,14 @@ def graph_embeddings(spark, sf_dir):
     return graphs.graph_embeddings(graphs.text_wl_labels(docs, "doc_id", "text"), docs.select(F.col("doc_id").alias("graph")))
 
 
+@query("f7_trained_vectors")
+def trained_graph_vectors(spark, sf_dir):
+    """One vector per document, trained against the labels of its word graph."""
+    docs = t.texts(spark, sf_dir)
+    model = graph_vectors.fit_graph_vectors(graphs.text_wl_labels(docs, "doc_id", "text"))
+    return model.vectors(docs.select(F.col("doc_id").alias("graph")))
+
+
 @query("f8_concat_features", f"""
     select idx, array_to_string(list_concat(features, [length(value) - len(string_split(value, 'e')) + 1,
            (value like 'Brand%')::int, (value = upper(value))::int]), ',') as features from ({BLOCK_FEATURES_SQL})""",
