@@ -13,18 +13,20 @@ trees decide on. A threshold per kind, calibrated on held-out rows to a stated
 precision, selects further spans to redact.
 
 Scale: the text is read once and never shuffled. Candidates are found and described
-within the row; later steps see one small row per candidate. The trees are fitted on
-at most ``SAMPLE`` candidates, taken in hash order, a bound that doesn't follow the
-input; scoring covers every candidate. Patterns use possessive quantifiers and
+within the row; later steps see one small row per candidate. Trees and thresholds
+learn from every labelled candidate: those of equal features are one row, weighted by
+their number, which Spark sums before the shuffle. Scoring covers every candidate. Patterns use possessive quantifiers and
 anchors, so a text of one endless word or number stays linear.
 
 Cases: a null text is empty and has no spans; repeated rows each get a row; an empty
-table, or one whose sample holds one class only, adds no spans; extra columns are
+table, or one whose candidates are of one class only, adds no spans; extra columns are
 not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -52,11 +54,11 @@ _WRITTEN = (
 )
 _MAIL = f"{_MARKED}|{_WRITTEN}"
 
-SAMPLE = 20_000
 PRECISION = 0.98
 SUPPORT = 20
 ROUNDS = 10
 DEPTH = 4
+BINS = 32
 CONTEXT = 30
 
 # Words that announce a kind, in the languages at hand.
@@ -250,25 +252,29 @@ def candidate_rows(stage: DataFrame) -> DataFrame:
     )
 
 
-def fit_trees(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, support: int = SUPPORT):
-    """(assembler, model, threshold by kind) fitted on the first ``sample`` rows in hash order; None if a class is absent.
+def fit_trees(rows: DataFrame, precision: float = PRECISION, support: int = SUPPORT):
+    """(assembler, model, threshold by kind) fitted on all rows with a label; None if a class is absent.
 
-    Four fifths of the sample fit the trees. On the rest, the threshold of a kind is
+    Four fifths of the rows, by hash, fit the trees. On the rest, the threshold of a kind is
     the lowest score at and above which at least ``precision`` of ``support`` or more
     rows are positive; a kind without one adds no spans.
     """
     names = [c for c in rows.columns if c.startswith("f_")]
-    rows = rows.where("label is not null")
-    chosen = materialize(rows.withColumn("_order", F.xxhash64("row", "kind", "s")).orderBy("_order").limit(sample), "pii-sample")
-    split = F.pmod(F.col("_order"), F.lit(5))
+    split = F.pmod(F.xxhash64("row", "kind", "s"), F.lit(5))
+    labelled = rows.where("label is not null").groupBy("kind", "label", (split == 0).alias("held"), *names)
+    table = materialize(labelled.agg(F.count("*").cast("double").alias("copies")), "pii-labelled")
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    train = assembler.transform(chosen.where(split != 0)).select("features", "label")
-    classes = {r["label"] for r in train.groupBy("label").count().collect()}
-    if classes != {0.0, 1.0}:
+    train = assembler.transform(table.where("not held")).select("features", "label", "copies")
+    classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if set(classes) != {0.0, 1.0}:
         return None
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label").fit(train)
-    held = scored(assembler, model, chosen.where(split == 0)).groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum("label").alias("pos")
+    # Spark finds the bins' edges from maxBins squared rows: with so many bins, from every row.
+    bins_ = max(BINS, math.isqrt(sum(classes.values())) + 1)
+    model = GBTClassifier(
+        maxIter=ROUNDS, maxDepth=DEPTH, maxBins=bins_, seed=7, featuresCol="features", labelCol="label", weightCol="copies"
+    ).fit(train)
+    held = scored(assembler, model, table.where("held")).groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(
+        F.sum("copies").alias("n"), F.sum(F.col("label") * F.col("copies")).alias("pos")
     )
     thresholds: dict[str, float] = {}
     bins: dict[str, list] = {}
@@ -288,12 +294,12 @@ def scored(assembler: VectorAssembler, model, rows: DataFrame) -> DataFrame:
     return model.transform(assembler.transform(rows)).withColumn("p", vector_to_array("probability")[1])
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """One row per document: the confirmed spans by kind, and ``added``, spans the trees select, as (kind, start, end)."""
     plain = with_text(docs).withColumn("row", F.monotonically_increasing_id())
     stage = materialize(proposals(strict_spans(plain)).drop("text"), "pii")
     rows = candidate_rows(stage)
-    fitted = fit_trees(rows, sample, precision)
+    fitted = fit_trees(rows, precision)
     base = stage.drop("_number", "_mail")
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     if fitted is None:

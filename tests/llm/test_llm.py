@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from check_oracle import compare, connect
+from pyspark.sql import functions as F
 
 from sievespark.llm import (
     ans, components, decontam, fuzzy_lines, language, packing, pii, quality, queries, scoring, simhash, substring, tokens,
@@ -162,6 +163,19 @@ def test_forms_beyond_the_strict_patterns_are_added(spark):
     assert [got[1000 + i] for i in range(7)] == [[w] for w in want] + [[]] * 3
 
 
+def test_trees_learn_from_every_labelled_candidate(spark):
+    """A kind with 240 candidates among 60,000 has enough held-out ones for a threshold."""
+    rare = F.col("id") % 250 == 0
+    rows = spark.range(60_000).select(
+        F.col("id").alias("row"), F.when(rare, "ip").otherwise("phone").alias("kind"), F.col("id").cast("int").alias("s"),
+        F.when(rare, 1.0).otherwise((F.col("id") % 2).cast("double")).alias("label"),
+        F.when(rare, 2.0).otherwise(4.0).alias("f_kind"), (F.col("id") % 2).cast("double").alias("f_odd"),
+    )
+    _, model, thresholds = pii.fit_trees(rows)
+    assert set(thresholds) == {"ip", "phone"}
+    assert model.getWeightCol() == "copies"
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
