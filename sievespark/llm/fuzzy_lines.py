@@ -15,7 +15,7 @@ each signature, of which similar lines share most; then by the sets of all shing
 They don't grow with the square of a group. Every line of a band is compared with the band's most frequent
 line, to which variants of a line mostly link. What is left unlinked in a band of up to
 ``LARGE`` lines is compared pair by pair; in a larger one, lines are joined without loss by band and
-rarest shingles: similar lines share one of the first fifth in an order by frequency, at places
+rarest shingles, bands that share lines as one: similar lines share one of the first fifth in an order by frequency there, at places
 that leave room for the overlap they need. Pairs within a component are not compared.
 
 Scale: what is shuffled per line are a few longs. Equal lines are one node. Texts are
@@ -32,7 +32,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import materialize
@@ -47,8 +47,6 @@ DENSE, SPARSE = 8, 12
 SKETCH, PLAUSIBLE = 16, 0.4
 #: Bands of more lines are joined by rare shingles.
 LARGE = 64
-#: Frequencies of shingles are counted in so many buckets; they only order the shingles.
-BUCKETS = 1 << 14
 _SPACE = " \t\x0b\x0c\r"
 _STARTS = r"(?s)(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])(?=(.{1,%d}))" % SIGNED
 _EVERY = r"(?s)(?=(.{%d}))" % COMPARED
@@ -175,31 +173,34 @@ def _pairs(members: DataFrame) -> DataFrame:
     return both.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
-def rare_shingles(lines: DataFrame) -> DataFrame:
-    """(key, h, label, n, at, shingle): of each line's n shingles those of which similar lines share one, rarest first.
+def rare_shingles(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, h, label, n, at, shingle): of each line's n shingles those of which similar lines share one, rarest in the key first.
 
     Of two sets whose Jaccard coefficient is SIMILARITY or more, each holds at least
     SIMILARITY of its own members in common, so the rarest common one is among these.
+    What lines of a key have in common, as a template's words, comes last in its order;
+    what only lines of one label have can link none and is left out, but counts as a place.
     """
-    hashed = materialize(lines.select("key", "h", "label", shingles(F.col("line")).alias("s")), "shingles")
-    bucket = lambda x: F.pmod(x, F.lit(BUCKETS))
-    counted = hashed.select(F.explode(F.transform("s", bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(BUCKETS).join(counted, F.col("id") == F.col("bucket"), "left")
-    counts = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n"))))["n"].alias("counts"))
-    ordered = hashed.crossJoin(F.broadcast(materialize(counts, "counts"))).select(
-        "key", "h", "label", F.size("s").alias("n"),
-        F.sort_array(F.transform("s", lambda x: F.struct(F.get("counts", bucket(x).cast("int")).alias("c"), x.alias("x")))).alias("s"),
+    own = materialize(lines.join(members.select("h").distinct(), "h").select("h", shingles(F.col("line")).alias("s")), "shingles")
+    each = members.join(own, "h").select("key", "h", "label", F.explode("s").alias("shingle"))
+    same = Window.partitionBy("key", "shingle")
+    counted = each.select(
+        "key", "h", "label", "shingle", F.count("*").over(same).alias("c"), (F.min("label").over(same) < F.max("label").over(same)).alias("mixed")
     )
+    ordered = counted.groupBy("key", "h", "label").agg(F.sort_array(F.collect_list(F.struct("c", "shingle", "mixed"))).alias("s")).withColumn("n", F.size("s"))
     first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    return ordered.select("key", "h", "label", "n", F.posexplode(F.transform(F.slice("s", F.lit(1), first), lambda x: x["x"])).alias("at", "shingle"))
+    placed = F.transform(F.slice("s", F.lit(1), first), lambda x, i: F.struct(i.alias("at"), x["shingle"].alias("shingle"), x["mixed"].alias("mixed")))
+    return ordered.select("key", "h", "label", "n", F.explode(F.filter(placed, lambda x: x["mixed"])).alias("x")).select(
+        "key", "h", "label", "n", "x.at", "x.shingle"
+    )
 
 
-def close_lines(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of a key and of different labels that hold all similar ones.
+def close_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members (key, h, label) of a key and of different labels that hold all similar ones.
 
     Lines meet by key, shingle and size: the sizes of similar lines are at most one class apart.
     """
-    entries = rare_shingles(lines).withColumn("size", F.floor(F.log("n") / F.lit(-math.log(SIMILARITY))).cast("int"))
+    entries = rare_shingles(members, lines).withColumn("size", F.floor(F.log("n") / F.lit(-math.log(SIMILARITY))).cast("int"))
     entries = materialize(entries, "rare")
     x, y = (entries.select("key", "shingle", "size", *[F.col(c).alias(f"{c}_{k}") for c in ("h", "label", "n", "at")]) for k in "ab")
     y = y.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
@@ -210,6 +211,12 @@ def close_lines(lines: DataFrame) -> DataFrame:
     return both.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")).distinct()
 
 
+def band_clusters(members: DataFrame) -> DataFrame:
+    """The members with bands that share lines put together under one key, so that each line is met once."""
+    labels = materialize(components(members.select(F.xxhash64("key").alias("a"), F.col("h").alias("b"))), "clusters")
+    return members.select("h", "label").distinct().join(labels.withColumnRenamed("label", "key").withColumnRenamed("node", "h"), "h").select("key", "h", "label")
+
+
 def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Verified links (a, b) between hashes of lines."""
     banded = table.select("h", F.explode("bands").alias("key"))
@@ -226,7 +233,7 @@ def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count("*").alias("n"))
     mixed = materialize(mixed.where("low <> top").select("key", "n"), "mixed")
     left = materialize(placed.join(mixed, "key").select("key", "n", "h", "label", *SKETCHES), "unlinked")
-    pairs = _pairs(left.where(F.col("n") <= LARGE)).union(close_lines(left.where(F.col("n") > LARGE).select("key", "h", "label").join(lines, "h")))
+    pairs = _pairs(left.where(F.col("n") <= LARGE)).union(close_lines(band_clusters(left.where(F.col("n") > LARGE)), lines))
     pairs = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     return links.union(materialize(_verified(pairs, lines), "links"))
 

@@ -361,6 +361,35 @@ def test_lines_of_one_template_are_all_compared(spark):
     assert len(true) > 300 and true <= got
 
 
+def test_lines_of_a_band_meet_by_what_is_rare_in_it(spark):
+    """Each line goes under its shingles of smallest count in its key, so that lines of a template meet by their own words."""
+    rng = np.random.default_rng(9)
+    own = lambda n: ["".join(rng.choice(list("bcdfgklmaeiou"), 6)) for _ in range(n)]
+    templates, rows = [own(12) for _ in range(8)], []
+    for k, common in enumerate(templates):
+        for i in range(40):
+            w = own(5)
+            rows += [(k, " ".join(common + w)), (k, " ".join(common + w[:4] + [w[4] + "x"]))] if i < 5 else [(k, " ".join(common + w))]
+    members = spark.createDataFrame([(k, i, i) for i, (k, _) in enumerate(rows)], "key long, h long, label long")
+    lines = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "h long, line string")
+    sets = {r.h: set(r.s) for r in lines.select("h", fuzzy_lines.shingles(F.col("line")).alias("s")).collect()}
+    count = collections.Counter((k, x) for i, (k, _) in enumerate(rows) for x in sets[i])
+    met, prefix = collections.defaultdict(list), collections.defaultdict(list)
+    for r in fuzzy_lines.rare_shingles(members, lines).collect():
+        met[r.key, r.shingle].append(r.h)
+        prefix[r.key, r.h].append((r.at, count[r.key, r.shingle]))
+    for (k, h), got in prefix.items():
+        rarest = sorted(count[k, x] for x in sets[h])[: len(sets[h]) - math.ceil(0.8 * len(sets[h])) + 1]
+        assert sorted(got) == [(i, c) for i, c in enumerate(rarest) if c > 1]
+    assert max(map(len, met.values())) < 20
+    pairs = {(r.a, r.b) for r in fuzzy_lines.close_lines(members, lines).collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and rows[a][0] == rows[b][0] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(near) >= 40 and near <= pairs
+    own_too = members.union(members.where("h % 2 = 0").selectExpr("key + 100", "h", "label"))
+    clusters = {(r.key, r.h) for r in fuzzy_lines.band_clusters(own_too).collect()}
+    assert len(clusters) == len(rows) and len({k for k, _ in clusters}) == len(templates)
+
+
 def test_inner_white_space_makes_no_difference(spark):
     rows = [(0, "one two six ten a b c d e f g h"), (1, "one  two\tsix   ten a b\x0bc  d  e \t f  g h\r"), (2, " a b\nx\ty z"), (3, "x y\fz\na  b\n\t \r")]
     got = fuzzy_lines.removed_lines(fuzzy_lines.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
