@@ -21,6 +21,7 @@ that leave room for the overlap they need. Pairs within a component are not comp
 Scale: what is shuffled per line are a few longs. Equal lines are one node. Texts are
 shuffled once, to fetch the candidates, of which one copy each is taken. Hot bands
 and lines are summed before the shuffle or meet in joins that adaptive execution splits.
+One window isn't split: lines of a cluster of bands that hold one shingle are counted in one task.
 
 Cases: a null text is one line without words; a null id counts as the largest; rows that
 repeat id and text are the same document and keep the same lines; an empty table gives
