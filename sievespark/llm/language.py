@@ -89,19 +89,23 @@ class Model:
         return lang, np.clip(score, 0, 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, reg: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """A linear SVM by averaged mini-batch subgradient steps; the last weight is the bias."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 30, reg: float = 1e-4, seed: int = 7) -> np.ndarray:
+    """A linear SVM by averaged mini-batch subgradient steps over the given rows of ``x``; the last weight is the bias.
+
+    Only a batch of rows is copied at a time.
+    """
     cost = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)).astype(np.float32)
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     mean, seen, rng = np.zeros_like(w), 0, np.random.default_rng(seed)
     for epoch in range(epochs):
         rate = 2.0 / (1 + 0.3 * epoch)
-        order = rng.permutation(len(x1))
-        for i in range(0, len(x1), 64):
+        order = rng.permutation(len(rows))
+        for i in range(0, len(rows), 64):
             at = order[i : i + 64]
-            wrong = np.where(y[at] * (x1[at] @ w) < 1, y[at] * cost[at], 0).astype(np.float32)
-            w += rate * (wrong @ x1[at] / len(at) - reg * w)
+            x1 = np.ones((len(at), len(w)), np.float32)
+            x1[:, :-1] = x[rows[at]]
+            wrong = np.where(y[at] * (x1 @ w) < 1, y[at] * cost[at], 0).astype(np.float32)
+            w += rate * (wrong @ x1 / len(at) - reg * w)
             if epoch >= epochs // 2:
                 seen += 1
                 mean += (w - mean) / seen
@@ -133,10 +137,11 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     held = np.arange(len(y)) % 5 == 4
 
     def learn(rows: np.ndarray) -> Model:
-        fx, fy = x[rows], y[rows]
+        rows = np.flatnonzero(rows)
+        fy = y[rows]
         fam = np.array([of[i] for i in fy])
-        family_w = np.stack([svm(fx, np.where(fam == f, 1, -1)) for f in range(len(families))])
-        pair_w = [svm(fx[at], np.where(fy[at] == a, 1, -1)) for a, b in pairs for at in [(fy == a) | (fy == b)]]
+        family_w = np.stack([svm(x, rows, np.where(fam == f, 1, -1)) for f in range(len(families))])
+        pair_w = [svm(x, rows[at], np.where(fy[at] == a, 1, -1)) for a, b in pairs for at in [(fy == a) | (fy == b)]]
         return Model(langs, families, family_w, pairs, np.stack(pair_w) if pairs else np.zeros((0, x.shape[1] + 1), np.float32))
 
     if len(langs) > 1 and len(y) >= 50 * len(langs):
@@ -177,8 +182,12 @@ def learn_languages(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
         return None
     rows.sort(key=lambda r: (bytes(r["x"]), r["lang"]))
     order = np.random.default_rng(1).permutation(len(rows))
-    x = np.stack([np.frombuffer(bytes(rows[i]["x"]), np.float16).astype(np.float32) for i in order])
-    return fit(x, [rows[i]["lang"] for i in order])
+    x = np.empty((len(rows), WIDTH), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(rows[i]["x"], np.float16)
+    labels = [rows[i]["lang"] for i in order]
+    del rows
+    return fit(x, labels)
 
 
 def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:

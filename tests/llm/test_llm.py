@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -646,6 +647,20 @@ def test_rans_round_trip(n):
 # 8 -----------------------------------------------------------------------------------------
 
 
+def test_fit_copies_no_matrix():
+    """Fitting takes little of the driver's memory beside the features it is given."""
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(1600, language.WIDTH))).astype(np.float32)
+    labels = [f"l{i % 4}" for i in range(len(x))]
+    x[np.arange(len(x)), np.arange(len(x)) % 4] += 20
+    tracemalloc.start()
+    model = language.fit(x, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * x.nbytes
+    assert [model.langs[i] for i in model.predict(x)[0]] == labels
+
+
 def test_language(spark, sf_dir, table, empty):
     got = language.op8_family_then_svm(spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id"
