@@ -49,19 +49,23 @@ SKETCH, PLAUSIBLE = 16, 0.4
 #: Bands of more lines are joined by rare shingles.
 LARGE = 64
 _SPACE = " \t\x0b\x0c\r"
-_STARTS = r"(?s)(?<![^\x20\x09-\x0D])(?![\x20\x09-\x0D])(?=(.{1,%d}))" % SIGNED
+# A match takes the whole word and the space after it, so that the next one begins at the next word.
+_STARTS = r"(?s)(?=(.{1,%d}))[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+" % SIGNED
 _EVERY = r"(?s)(?=(.{%d}))" % COMPARED
 _LAST = (1 << 63) - 1
 # Points on the circle of signed hashes; each gives the band after it and the band before it.
 _POINTS = (-(1 << 63), -(1 << 62), 1 << 61)
 
 
-def normal_lines(text: Column) -> Column:
-    """The lines of a text, normalised; line n of the result is line n of the text."""
-    low = F.lower(text)
-    uneven = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in ("  ", *_SPACE[1:])])
-    plain = F.when(uneven, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
-    return F.transform(F.split(plain, "\n"), lambda line: F.trim(line))
+def normal_lines(docs: DataFrame, *cols: str) -> DataFrame:
+    """``lines``, those of the text, normalised but for white space at their ends, beside the columns ``cols``; line n is line n of the text.
+
+    In steps, since a lambda or a generator over the whole expression evaluates each mention of the lower-cased text again.
+    """
+    low = docs.select(*cols, F.lower("text").alias("low"))
+    uneven = functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in ("  ", *_SPACE[1:])])
+    plain = F.when(uneven, F.regexp_replace("low", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("low"))
+    return low.select(*cols, F.split(plain, "\n").alias("lines"))
 
 
 def _hashed(line: Column, pattern: str) -> Column:
@@ -78,20 +82,24 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < COMPARED, F.array(F.xxhash64(line))).otherwise(_hashed(line, _EVERY))
 
 
-def _below(hashes: str, point: int) -> Column:
-    return F.size(F.filter(hashes, lambda x: x < F.lit(point)))
+def below(hashes: str, name: str) -> list[Column]:
+    """How many of a sorted array's hashes are below each point but the lowest: ``name``1, ``name``2."""
+    return [
+        (F.array_position(F.sort_array(F.concat(hashes, F.array(F.lit(point)))), F.lit(point)) - 1).cast("int").alias(f"{name}{i}")
+        for i, point in enumerate(_POINTS) if i
+    ]
 
 
-def bands(hashes: str) -> Column:
-    """The distinct bands of a sorted array of distinct hashes."""
+def bands(hashes: str, name: str) -> Column:
+    """The distinct bands of a sorted array of distinct hashes, whose columns ``below`` are there."""
     n = F.size(hashes)
 
     def at(i: Column) -> Column:
         return F.get(hashes, F.pmod(i, n))
 
     out = []
-    for point in _POINTS:
-        k = F.lit(0) if point == _POINTS[0] else _below(hashes, point)
+    for point in range(len(_POINTS)):
+        k = F.col(f"{name}{point}") if point else F.lit(0)
         out += [F.xxhash64(at(k), at(k + 1), at(k + 2)), F.xxhash64(at(k - 3 + 3 * n), at(k - 2 + 3 * n), at(k - 1 + 3 * n))]
     return F.array_distinct(F.array(*out))
 
@@ -110,18 +118,20 @@ def sketch(hashes: str) -> Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per line that isn't empty: where it is, its hash, its bands, and a sketch of each signature it has."""
-    lines = docs.select("doc", "check", F.posexplode(normal_lines(F.col("text"))).alias("place", "line")).where("line <> ''")
+    lines = normal_lines(docs, "doc", "check").select("doc", "check", F.posexplode("lines").alias("place", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
     hashed = lines.select(
         "doc", "check", "place", F.xxhash64("line").alias("h"),
         F.sort_array(word_starts(F.col("line"))).alias("starts"), "line",
     )
-    few = F.size("starts") < SPARSE
-    hashed = hashed.withColumn("every", F.when(few, F.sort_array(shingles(F.col("line"))))).drop("line")
-    every, starts = bands("every"), bands("starts")
+    few, both = F.size("starts") < SPARSE, (F.size("starts") >= DENSE) & (F.size("starts") < SPARSE)
+    hashed = hashed.withColumn("signed", F.when(few, F.sort_array(shingles(F.col("line")))).otherwise(F.col("starts"))).drop("line")
+    hashed = hashed.select("*", *below("signed", "k"), *[F.when(both, k).alias(f"s{i + 1}") for i, k in enumerate(below("starts", "s"))])
+    none = F.array().cast("array<long>")
     return hashed.select(
         "doc", "check", "place", "h",
-        F.when(~few, starts).when(F.size("starts") < DENSE, every).otherwise(F.array_distinct(F.concat(every, starts))).alias("bands"),
-        F.when(few, sketch("every")).alias("by_place"), F.when(F.size("starts") >= DENSE, sketch("starts")).alias("by_word"),
+        F.array_distinct(F.concat(bands("signed", "k"), F.when(both, bands("starts", "s")).otherwise(none))).alias("bands"),
+        F.when(few, sketch("signed")).alias("by_place"), F.when(F.size("starts") >= DENSE, sketch("starts")).alias("by_word"),
     )
 
 
@@ -139,23 +149,29 @@ def plausible(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough."""
+    """The pairs (a, b) whose lines are similar enough.
+
+    The sets of a pair are variables of a lambda: the condition becomes the join's, which would build them for every mention.
+    """
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("x"))
     b = lines.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").select(
-        "a", "b", shingles(F.col("x")).alias("p"), shingles(F.col("y")).alias("q")
-    )
-    common = F.size(F.array_intersect("p", "q"))
-    total = F.size("p") + F.size("q") - common
-    return both.where(common >= F.lit(SIMILARITY) * total).select("a", "b")
+    sets = F.array(F.struct(shingles(F.col("x")).alias("p"), shingles(F.col("y")).alias("q")))
+
+    def similar(s: Column) -> Column:
+        # Of as many in common, and the sizes: common >= SIMILARITY * (sizes - common).
+        common = F.size(F.array_intersect(s["p"], s["q"]))
+        return F.lit(1 + SIMILARITY) * common >= F.lit(SIMILARITY) * (F.size(s["p"]) + F.size(s["q"])) - F.lit(1e-9)
+
+    return pairs.join(a, "a").join(b, "b").where(F.exists(sets, similar)).select("a", "b")
 
 
 def candidate_lines(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, line) of the wanted hashes, each read from one document."""
     first = table.join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc", "check", "place")).alias("at"))
     by_doc = first.groupBy("at.doc", "at.check").agg(F.collect_list(F.struct("h", "at.place")).alias("wanted"))
-    rows = docs.join(by_doc, ["doc", "check"]).select("wanted", normal_lines(F.col("text")).alias("lines"))
-    return rows.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["place"]).alias("line")))).alias("c")).select("c.h", "c.line")
+    rows = normal_lines(docs.join(by_doc, ["doc", "check"]), "wanted")
+    found = rows.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["place"]).alias("line")))).alias("c"))
+    return found.select("c.h", F.trim("c.line").alias("line"))
 
 
 def _stars(members: DataFrame) -> DataFrame:

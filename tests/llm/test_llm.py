@@ -397,6 +397,16 @@ def test_inner_white_space_makes_no_difference(spark):
     assert {(r.doc, k) for r in got for k in r.removed} == {(1, 0), (3, 0), (3, 1)}
 
 
+def test_sets_of_a_pair_are_built_once(spark):
+    """Counted in the plan that Spark runs, where the condition moves into the join; and the limit itself is similar enough."""
+    lines = spark.createDataFrame([(1, "abcdefghijklm"), (2, "abcdefghijklmno"), (3, "abcdefghijklmnop"), (4, "abcd"), (5, "abce")], "h long, line string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5)], "a long, b long")
+    found = fuzzy_lines._verified(pairs, lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (2, 3)]
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
