@@ -11,7 +11,8 @@ Linked lines form components by distributed union-find, and the first line of a
 always stay.
 
 Candidates are checked in two steps: first by their sketches, the smallest hashes of
-each signature, of which similar lines share most; then by the sets of all shingles.
+each signature, of which similar lines share most; then by the sets of all shingles. Where
+a line has many pairs, its set is built once, in 16 bits a shingle, which rules out most of them exactly.
 They don't grow with the square of a group. Every line of a band is compared with the band's most frequent
 line, to which variants of a line mostly link. What is left unlinked in a band of up to
 ``LARGE`` lines is compared pair by pair; in a larger one, lines are joined without loss by band and
@@ -83,25 +84,23 @@ def shingles(line: Column) -> Column:
 
 
 def below(hashes: str, name: str) -> list[Column]:
-    """How many of a sorted array's hashes are below each point but the lowest: ``name``1, ``name``2."""
-    return [
-        (F.array_position(F.sort_array(F.concat(hashes, F.array(F.lit(point)))), F.lit(point)) - 1).cast("int").alias(f"{name}{i}")
-        for i, point in enumerate(_POINTS) if i
-    ]
+    """How many of an array's hashes are below each point but the lowest: ``name``1, ``name``2."""
+
+    def count(point: int) -> Column:
+        return F.size(F.filter(hashes, lambda x: x < F.lit(point)))
+
+    return [count(point).alias(f"{name}{i}") for i, point in enumerate(_POINTS) if i]
 
 
 def bands(hashes: str, name: str) -> Column:
-    """The distinct bands of a sorted array of distinct hashes, whose columns ``below`` are there."""
+    """The bands of a sorted array of distinct hashes, whose columns ``below`` are there; small arrays repeat some."""
     n = F.size(hashes)
+    after = [F.col(f"{name}{point}") if point else F.lit(0) for point in range(len(_POINTS))]
 
-    def at(i: Column) -> Column:
-        return F.get(hashes, F.pmod(i, n))
+    def band(first: Column) -> Column:
+        return F.xxhash64(*[F.get(hashes, F.pmod(first + i, n)) for i in range(3)])
 
-    out = []
-    for point in range(len(_POINTS)):
-        k = F.col(f"{name}{point}") if point else F.lit(0)
-        out += [F.xxhash64(at(k), at(k + 1), at(k + 2)), F.xxhash64(at(k - 3 + 3 * n), at(k - 2 + 3 * n), at(k - 1 + 3 * n))]
-    return F.array_distinct(F.array(*out))
+    return F.transform(F.array(*[first for k in after for first in (k, k - 3)]), band)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -117,8 +116,11 @@ def sketch(hashes: str) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't empty: where it is, its hash, its bands, and a sketch of each signature it has."""
-    lines = normal_lines(docs, "doc", "check").select("doc", "check", F.posexplode("lines").alias("place", "line"))
+    """One row per line that isn't empty: where it is, its hash, its bands, and a sketch of each signature it has.
+
+    An outer generator: below a plain one, the optimizer tests that there is a line, for which it normalises the text several times more.
+    """
+    lines = normal_lines(docs, "doc", "check").select("doc", "check", F.posexplode_outer("lines").alias("place", "line"))
     lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
     hashed = lines.select(
         "doc", "check", "place", F.xxhash64("line").alias("h"),
@@ -151,18 +153,40 @@ def plausible(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough.
 
-    The sets of a pair are variables of a lambda: the condition becomes the join's, which would build them for every mention.
+    The sets of a pair are a generator's columns, which a condition isn't moved below: it would build them for every mention.
+    In a lambda, they would be compared member by member as objects.
     """
     a = lines.select(F.col("h").alias("a"), F.col("line").alias("x"))
     b = lines.select(F.col("h").alias("b"), F.col("line").alias("y"))
     sets = F.array(F.struct(shingles(F.col("x")).alias("p"), shingles(F.col("y")).alias("q")))
+    # Of as many in common, and the sizes: common >= SIMILARITY * (sizes - common).
+    common, sizes = F.size(F.array_intersect("p", "q")), F.size("p") + F.size("q")
+    similar = F.lit(1 + SIMILARITY) * common >= F.lit(SIMILARITY) * sizes - F.lit(1e-9)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.inline_outer(sets)).where(similar).select("a", "b")
+
 
-    def similar(s: Column) -> Column:
-        # Of as many in common, and the sizes: common >= SIMILARITY * (sizes - common).
-        common = F.size(F.array_intersect(s["p"], s["q"]))
-        return F.lit(1 + SIMILARITY) * common >= F.lit(SIMILARITY) * (F.size(s["p"]) + F.size(s["q"])) - F.lit(1e-9)
+def compact_sets(lines: DataFrame) -> DataFrame:
+    """(h, n, s): how many shingles a line has, and the distinct first 16 bits of their hashes, about twice the text in size."""
+    own = lines.select("h", shingles(F.col("line")).alias("all"))
+    return own.select("h", F.size("all").alias("n"), F.array_distinct(F.transform("all", lambda x: F.shiftright(x, 48).cast("short"))).alias("s"))
 
-    return pairs.join(a, "a").join(b, "b").where(F.exists(sets, similar)).select("a", "b")
+
+def possible(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) but those that can't be similar by the compact sets of their lines, each built once however many pairs it has.
+
+    No similar pair is left out: shingles in common are in common in 16 bits too, but
+    for those that fall together there, at most as many as in the whole of either line.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    sets = materialize(compact_sets(lines.join(wanted, "h")), "sets")
+    sizes = (sets.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    for size in sizes:
+        pairs = pairs.join(size, size.columns[0])
+    alike = pairs.where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b") - F.lit(1e-9))
+    for k in "ab":
+        alike = alike.join(sets.select(F.col("h").alias(k), F.col("s").alias(f"s_{k}")), k)
+    common = F.size(F.array_intersect("s_a", "s_b")) + F.least(F.col("n_a") - F.size("s_a"), F.col("n_b") - F.size("s_b"))
+    return alike.where(F.lit(1 + SIMILARITY) * common >= F.lit(SIMILARITY) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9)).select("a", "b")
 
 
 def candidate_lines(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,7 +194,7 @@ def candidate_lines(docs: DataFrame, table: DataFrame, wanted: DataFrame) -> Dat
     first = table.join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc", "check", "place")).alias("at"))
     by_doc = first.groupBy("at.doc", "at.check").agg(F.collect_list(F.struct("h", "at.place")).alias("wanted"))
     rows = normal_lines(docs.join(by_doc, ["doc", "check"]), "wanted")
-    found = rows.select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["place"]).alias("line")))).alias("c"))
+    found = rows.select(F.explode_outer(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), F.get("lines", w["place"]).alias("line")))).alias("c"))
     return found.select("c.h", F.trim("c.line").alias("line"))
 
 
@@ -207,9 +231,9 @@ def rare_shingles(members: DataFrame, lines: DataFrame) -> DataFrame:
     ordered = counted.groupBy("key", "h", "label").agg(F.sort_array(F.collect_list(F.struct("c", "shingle", "mixed"))).alias("s")).withColumn("n", F.size("s"))
     first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - F.lit(1e-9)).cast("int") + 1
     placed = F.transform(F.slice("s", F.lit(1), first), lambda x, i: F.struct(i.alias("at"), x["shingle"].alias("shingle"), x["mixed"].alias("mixed")))
-    return ordered.select("key", "h", "label", "n", F.explode(F.filter(placed, lambda x: x["mixed"])).alias("x")).select(
+    return ordered.select("key", "h", "label", "n", F.explode_outer(F.filter(placed, lambda x: x["mixed"])).alias("x")).select(
         "key", "h", "label", "n", "x.at", "x.shingle"
-    )
+    ).where("at is not null")
 
 
 def close_lines(members: DataFrame, lines: DataFrame) -> DataFrame:
@@ -252,7 +276,7 @@ def similar_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
     left = materialize(placed.join(mixed, "key").select("key", "n", "h", "label", *SKETCHES), "unlinked")
     pairs = _pairs(left.where(F.col("n") <= LARGE)).union(close_lines(band_clusters(left.where(F.col("n") > LARGE)), lines))
     pairs = materialize(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    return links.union(materialize(_verified(pairs, lines), "links"))
+    return links.union(materialize(_verified(materialize(possible(pairs, lines), "possible"), lines), "links"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -407,6 +407,37 @@ def test_sets_of_a_pair_are_built_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (2, 3)]
 
 
+def test_texts_are_normalised_once(spark):
+    """Counted in the plan that Spark runs, for every line and for the candidates."""
+    docs = fuzzy_lines.keyed(spark.createDataFrame([(1, "One line of words\n\n a  b"), (2, None)], "doc_id long, text string"))
+    table = fuzzy_lines.line_table(docs)
+    wanted = spark.createDataFrame([], "h long")
+    for df in (table, fuzzy_lines.candidate_lines(docs, table.select("doc", "check", "place", "h"), wanted)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == plan.count("lower(") and 1 <= plan.count("split(") <= 2
+    assert sorted((r.doc, r.place) for r in table.collect()) == [(1, 0), (1, 2)]
+
+
+def test_pairs_are_ruled_out_by_sets_built_once_a_line(spark):
+    """Of all pairs of a template's lines hardly any but the similar ones is left to be compared, and no similar one is lost."""
+    rng = np.random.default_rng(10)
+    own = lambda n: ["".join(rng.choice(list("bcdfgklmaeiou"), 6)) for _ in range(n)]
+    common, texts = own(16), ["", "abcd", "abcdefghijklm", "abcdefghijklmno", "ab" * 400, "ab" * 900 + "c"]
+    for i in range(20):
+        w = own(6)
+        texts += [" ".join(common + w), " ".join(common + w[:5] + [w[5] + "x" * (i + 1)])]
+    long = own(9000)
+    texts += [" ".join(long), " ".join(long[:-300]), " ".join(long[:4000])]
+    sets = [all_shingles(t) for t in texts]
+    everyone = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    similar = {(a, b) for a, b in everyone if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    pairs = spark.createDataFrame(everyone, "a long, b long")
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    left = {tuple(r) for r in fuzzy_lines.possible(pairs, lines).collect()}
+    assert len(similar) > 15 and similar <= left and len(left) < len(similar) + 0.02 * len(everyone)
+    assert {tuple(r) for r in fuzzy_lines._verified(spark.createDataFrame(sorted(left), pairs.schema), lines).collect()} == similar
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
