@@ -240,3 +240,28 @@ def test_sentence_vectors_skip_unknown_words(spark):
 def test_dictionary_is_sorted(spark, sf_dir):
     rows = dictionary(spark, sf_dir).orderBy("idx").collect()
     assert [r["value"] for r in rows] == sorted(r["value"] for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+def test_best_matches_of_a_held_context_equal_joined_ones(spark, kind):
+    """Also with repeated and null ids, empty, missing and gapped sets; a held context needs no join of sets."""
+    rng = np.random.default_rng(8)
+    one = lambda: sorted(map(int, rng.choice(np.arange(-40, 80), int(rng.integers(0, 30)), replace=False)))
+    some = [(i % 70 if i % 9 else None, one()) for i in range(90)]
+    queries = spark.createDataFrame([*some, (500, None), (501, [3, None, 7]), (502, [7000])], f"id bigint, bits array<{kind}>")
+    context = spark.createDataFrame([*((i % 33 if i % 8 else None, one()) for i in range(40)), (99, [])], f"id bigint, bits array<{kind}>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for width, threshold in ((1, 0.0), (2, 0.2)):
+        held, joined = (rows(similarity.best_matches(queries, context, 3, 2, width, threshold, held_bytes=n)) for n in (1 << 20, 0))
+        assert held == joined and len(held) == 93 and sum("context_id=None" not in r for r in held) > 20
+    alone = queries.where("id between 500 and 502").where("not exists(bits, b -> b is null)")
+    plan = similarity.best_matches(alone, context, 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "array_intersect" not in plan
+
+
+def test_hashes_equal_sparks(spark):
+    x = np.array([0, 1, -1, 2**40 + 7, -(2**63), 2**63 - 1])
+    got = spark.createDataFrame([(int(v),) for v in x], "x bigint").selectExpr("xxhash64(x) a", "xxhash64(x, 9) b", "xxhash64(cast(x % 100003 as int)) c").collect()
+    low = np.fmod(x, 100003).astype(np.int32)
+    once = similarity.xxhash64(x)
+    assert [tuple(r) for r in got] == list(zip(once.tolist(), similarity.xxhash64(np.array([9], np.int32), once).tolist(), similarity.xxhash64(low).tolist()))
