@@ -3,10 +3,14 @@
 Features are coded once as a byte each, by approximate quantiles of all rows. The coded
 rows, with their labels, weights and margins, are a written stage table. To grow a level
 of a tree, every task adds up gradients, hessians and rows per node, feature and bin;
-Spark sums them, and running sums over the bins of a feature give the gain of every split.
-Only the best split of each node comes to the driver. After a tree the table is written
+the driver adds up those of few tasks, Spark those of many, and running sums over the bins
+of a feature give the gain of every split. After a tree the table is written
 anew with the margins it gives, so no round repeats the work of earlier ones and a lost
-executor costs a task.
+executor costs a task; the table before is deleted.
+
+Equal coded rows have equal gradients. If the distinct ones are few enough for the driver,
+as where many rows share the features of few entities, it grows the trees on these, each
+weighted by its rows, without a job a level.
 
 Several targets on the same rows are grown side by side: their histograms are one job.
 
@@ -31,9 +35,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.stage import materialize, path_exists, spread
+from ..sources.stage import discard, materialize, path_exists, spread
 
 BINS = 64
+#: Sums of a level that all tasks together send to the driver, and rows that it may hold.
+SENT_BYTES, HELD_BYTES = 64 << 20, 64 << 20
 
 
 @dataclasses.dataclass(frozen=True)
@@ -117,6 +123,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in row] for row in column], dtype=np.float64)
 
 
+def _full(column: pd.Series) -> np.ndarray:
+    """A matrix of lists of one length without nulls, as stage tables have them."""
+    return np.concatenate(column.to_list()).reshape(len(column), -1)
+
+
 def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
 
@@ -157,30 +168,79 @@ def coded(rows: DataFrame, features: str, labels: Sequence[Column], ensemble: En
 TABLE = "bins binary, y array<double>, w array<double>, margin array<double>, val boolean"
 
 
+def node_sums(batches: Iterator[pd.DataFrame], trees: dict[int, Tree], nodes: dict[int, list[int]], width: int) -> dict[int, np.ndarray]:
+    """Per target the gradients, hessians and rows of a task by feature, node and bin."""
+    sums = {t: np.zeros((3, width, len(at) * BINS)) for t, at in nodes.items()}
+    for b in batches:
+        b = b[~b["val"]]
+        if len(b):
+            add_rows(sums, trees, nodes, _bytes(b["bins"]), _full(b["y"]), _full(b["w"]), _full(b["margin"]))
+    return sums
+
+
+def add_rows(
+    sums: dict[int, np.ndarray], trees: dict[int, Tree], nodes: dict[int, list[int]], bins: np.ndarray, y: np.ndarray, w: np.ndarray,
+    m: np.ndarray, n: np.ndarray | None = None,
+) -> None:
+    """Add rows, each counting ``n`` times, to the sums of their nodes."""
+    for t, at in nodes.items():
+        slot = np.full(len(trees[t].feature), -1)
+        slot[at] = np.arange(len(at))
+        own = slot[trees[t].walk(bins)]
+        use = np.nonzero((own >= 0) & (w[:, t] > 0))[0]
+        if not len(use):
+            continue
+        p = 1.0 / (1.0 + np.exp(-m[use, t]))
+        g, h = w[use, t] * (p - y[use, t]), w[use, t] * p * (1.0 - p)
+        times = None if n is None else n[use]
+        if n is not None:
+            g, h = g * times, h * times
+        first = own[use] * BINS
+        for f in range(bins.shape[1]):
+            place = first + bins[use, f]
+            for k, value in enumerate((g, h, times)):
+                sums[t][k, f] += np.bincount(place, weights=value, minlength=len(at) * BINS)
+
+
+class HeldRows:
+    """The distinct rows of a fit, on the driver; ``n`` says how many rows each stands for."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.bins, self.y, self.w, self.m = _bytes(rows["bins"]), _full(rows["y"]), _full(rows["w"]), _full(rows["margin"])
+        self.val, self.n = rows["val"].to_numpy(bool), rows["n"].to_numpy(float)
+
+    @classmethod
+    def of(cls, table: DataFrame, width: int, targets: int) -> HeldRows | None:
+        """None if there are too many, or no rows."""
+        most = HELD_BYTES // (width + 24 * targets + 64)
+        some = table.groupBy("bins", "y", "w", "margin", "val").agg(F.count(F.lit(1)).alias("n")).limit(most + 1)
+        some = materialize(some, "distinct")
+        found = None if not 0 < some.count() <= most else cls(some.toPandas())
+        discard(some)
+        return found
+
+    def sums(self, trees: dict[int, Tree], nodes: dict[int, list[int]]) -> dict[int, np.ndarray]:
+        out = {t: np.zeros((3, self.bins.shape[1], len(at) * BINS)) for t, at in nodes.items()}
+        use = ~self.val
+        add_rows(out, trees, nodes, self.bins[use], self.y[use], self.w[use], self.m[use], self.n[use])
+        return out
+
+    def add(self, trees: dict[int, Tree]) -> None:
+        for t, tree in trees.items():
+            self.m[:, t] += tree.margins(self.bins)
+
+    def losses(self, val: bool) -> list[float | None]:
+        z = np.where(self.y > 0, -self.m, self.m)
+        n = self.n[:, None] * (self.w > 0) * (self.val == val)[:, None]
+        loss = (n * (np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z))))).sum(axis=0)
+        return [float(x / k) if k else None for x, k in zip(loss, n.sum(axis=0))]
+
+
 def histograms(table: DataFrame, trees: dict[int, Tree], nodes: dict[int, list[int]], width: int) -> DataFrame:
     """Sums (t, node, feature, bin, g, h, n) over the training rows in the given nodes of each target's tree."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {t: np.zeros((3, width, len(at) * BINS)) for t, at in nodes.items()}
-        for b in batches:
-            b = b[~b["val"]]
-            if not len(b):
-                continue
-            bins, y, w, m = _bytes(b["bins"]), _matrix(b["y"]), _matrix(b["w"]), _matrix(b["margin"])
-            for t, at in nodes.items():
-                slot = np.full(len(trees[t].feature), -1)
-                slot[at] = np.arange(len(at))
-                own = slot[trees[t].walk(bins)]
-                use = np.nonzero((own >= 0) & (w[:, t] > 0))[0]
-                if not len(use):
-                    continue
-                p = 1.0 / (1.0 + np.exp(-m[use, t]))
-                g, h = w[use, t] * (p - y[use, t]), w[use, t] * p * (1.0 - p)
-                first = own[use] * BINS
-                for f in range(width):
-                    place = first + bins[use, f]
-                    for k, value in enumerate((g, h, None)):
-                        sums[t][k, f] += np.bincount(place, weights=value, minlength=len(at) * BINS)
+        sums = node_sums(batches, trees, nodes, width)
         for t, at in nodes.items():
             f, place = np.nonzero(sums[t][2])
             yield pd.DataFrame({
@@ -193,6 +253,45 @@ def histograms(table: DataFrame, trees: dict[int, Tree], nodes: dict[int, list[i
     return found.repartition("t", "node", "feature").groupBy("t", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
+def sent_sums(table: DataFrame, trees: dict[int, Tree], nodes: dict[int, list[int]], width: int) -> dict[int, np.ndarray]:
+    """The sums of few tasks, added up by the driver."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = node_sums(batches, trees, nodes, width)
+        yield pd.DataFrame({"t": np.array([*sums], "int32"), "sums": [x.tobytes() for x in sums.values()]})
+
+    total = {t: np.zeros((3, width, len(at) * BINS)) for t, at in nodes.items()}
+    for r in table.mapInPandas(add, "t int, sums binary").collect():
+        total[r["t"]] += np.frombuffer(r["sums"]).reshape(total[r["t"]].shape)
+    return total
+
+
+def held_splits(total: dict[int, np.ndarray], nodes: dict[int, list[int]], s: Settings) -> list[dict]:
+    """What ``best_splits`` gives, from sums on the driver."""
+
+    def strength(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.maximum(np.abs(g) - s.l1, 0.0) ** 2 / (h + s.l2)
+
+    out = []
+    for t, at in nodes.items():
+        sums = total[t].reshape(*total[t].shape[:2], len(at), BINS)
+        left = sums.cumsum(axis=3)
+        whole = left[..., -1:]
+        (lg, lh, ln), (ag, ah, _), (rg, rh, rn) = left, whole, whole - left
+        fits = (np.minimum(ln, rn) >= s.min_rows) & (np.minimum(lh, rh) >= s.min_hessian) & (sums[2] > 0)
+        gain = np.floor((strength(lg, lh) + strength(rg, rh) - strength(ag, ah)) * 1e9 + 0.5) / 1e9
+        gain = np.where(fits & (gain > 0), gain, 0.0)
+        for i, node in enumerate(at):
+            if not whole[2, :, i].any():
+                continue
+            # The first feature and bin of the largest gain.
+            f, b = np.unravel_index(gain[:, i].argmax(), gain[:, i].shape)
+            best = {"gain": float(gain[f, i, b]), "f": -int(f), "b": -int(b)} | {
+                k: float(v[f, i, b]) for k, v in (("lg", lg), ("lh", lh), ("rg", rg), ("rh", rh))} if gain[f, i, b] > 0 else None
+            out.append({"t": t, "node": node, "best": best, "all": {"ag": float(ag[-1, i, 0]), "ah": float(ah[-1, i, 0])}})
+    return out
+
+
 def best_splits(sums: DataFrame, s: Settings) -> DataFrame:
     """Per node its totals and the best split that both sides allow (null if there is none)."""
     by = W.partitionBy("t", "node", "feature")
@@ -216,12 +315,18 @@ def leaf_value(g: float, h: float, s: Settings) -> float:
     return -math.copysign(max(abs(g) - s.l1, 0.0), g) / (h + s.l2) * s.rate
 
 
-def grow(table: DataFrame, targets: Sequence[int], width: int, s: Settings) -> dict[int, Tree]:
+def grow(table: DataFrame | HeldRows, targets: Sequence[int], width: int, s: Settings) -> dict[int, Tree]:
     """The next tree of each target, level by level; of a level's splits the best are made while leaves are left."""
     trees = {t: Tree([-1], [0], [0], [0], [0.0]) for t in targets}
     frontier = {t: [0] for t in targets}
+    tasks = 0 if isinstance(table, HeldRows) else table.rdd.getNumPartitions()
     for level in range(s.depth):
-        rows = best_splits(histograms(table, trees, frontier, width), s).collect()
+        if isinstance(table, HeldRows):
+            rows = held_splits(table.sums(trees, frontier), frontier, s)
+        elif tasks * 24 * BINS * width * sum(map(len, frontier.values())) <= SENT_BYTES:
+            rows = held_splits(sent_sums(table, trees, frontier, width), frontier, s)
+        else:
+            rows = best_splits(histograms(table, trees, frontier, width), s).collect()
         frontier = {}
         for t in targets:
             tree = trees[t]
@@ -240,6 +345,8 @@ def grow(table: DataFrame, targets: Sequence[int], width: int, s: Settings) -> d
                     tree.feature.append(-1), tree.bin.append(0), tree.left.append(0), tree.right.append(0)
                     tree.value.append(leaf_value(best[f"{side}g"], best[f"{side}h"], s))
                 frontier.setdefault(t, []).extend([tree.left[node], tree.right[node]])
+            if room < 1:
+                frontier.pop(t, None)  # no split of these could be made
         if not frontier:
             break
     return trees
@@ -251,7 +358,7 @@ def with_margins(table: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                bins, m = _bytes(b["bins"]), _matrix(b["margin"])
+                bins, m = _bytes(b["bins"]), _full(b["margin"])
                 for t, tree in trees.items():
                     m[:, t] += tree.margins(bins)
                 yield b.assign(margin=list(m))
@@ -293,12 +400,17 @@ def fit(
     fresh, weights = start(rows, features, labels, list(targets), s, validation)
     model = fresh if ensemble is None else Ensemble(ensemble.targets, ensemble.edges, ensemble.base, [list(t) for t in ensemble.trees])
     width = len(model.edges)
-    table = spread(materialize(coded(rows, features, labels, model, weights, validation), "coded"))
+    written = materialize(coded(rows, features, labels, model, weights, validation), "coded")
+    held = HeldRows.of(written, width, len(labels))
+    table = held or spread(written)
     known = [len(t) for t in model.trees]
-    losses = log_losses(table, len(labels), validation is not None)
+    # Without validation nothing but a report asks for the losses.
+    judged = validation is not None or report is not None
+    lost = lambda: held.losses(validation is not None) if held else log_losses(table, len(labels), validation is not None)
+    losses = lost() if judged else [None] * len(labels)
     best = {t: (math.inf if losses[t] is None else losses[t], known[t]) for t in range(len(labels))}
     active = list(range(len(labels)))
-    for _ in range(s.rounds):
+    for step in range(s.rounds):
         grown = grow(table, active, width, s)
         # A tree that can't split ends its target's fit.
         grown = {t: tree for t, tree in grown.items() if len(tree.feature) > 1}
@@ -306,8 +418,15 @@ def fit(
             break
         for t, tree in grown.items():
             model.trees[t].append(tree)
-        table = materialize(with_margins(table, grown), "margins")
-        losses = log_losses(table, len(labels), validation is not None)
+        if not judged and step + 1 == s.rounds:
+            break
+        if held:
+            held.add(grown)
+        else:
+            before, written = written, materialize(with_margins(table, grown), "margins")
+            table = written
+            discard(before)
+        losses = lost() if judged else losses
         if report is not None:
             report.append(losses)
         active = []
@@ -318,6 +437,7 @@ def fit(
                 active.append(t)
         if not active:
             break
+    discard(written)
     if validation is not None:
         model.trees = [trees[: best[t][1]] if best[t][0] < math.inf else trees for t, trees in enumerate(model.trees)]
     return model

@@ -138,3 +138,26 @@ def test_continued_over_parts(spark):
     assert np.allclose(whole.margins(bins), saved.margins(bins), atol=1e-9)
     scored = {r["id"]: r["score_a"] for r in boosting.score(model, df, "features", ["id"]).collect()}
     assert np.allclose([scored[i] for i in range(1500)], 1 / (1 + np.exp(-step[:, 0])))
+
+
+def test_held_sent_and_summed_rows_grow_the_same_trees(spark, monkeypatch):
+    """Few distinct rows are held by the driver, sums of few tasks are sent to it: no level is a job of its own, or has no shuffle."""
+    x, y, held = planted(n=400)
+    x = np.round(x)
+    df = frame(spark, np.concatenate([x, x[:150]]), np.concatenate([y, y[:150]]), np.concatenate([[None], y[1:], 1 - y[:150]]))
+    s, found = Settings(rounds=3, min_rows=12, rate=0.3, depth=4, leaves=7), []
+    jobs = spark.sparkContext.statusTracker()
+    for k, (rows, sums) in enumerate(((64 << 20, 64 << 20), (0, 64 << 20), (0, 0))):
+        monkeypatch.setattr(boosting, "HELD_BYTES", rows)
+        monkeypatch.setattr(boosting, "SENT_BYTES", sums)
+        report = []
+        spark.sparkContext.setJobGroup(f"way{k}", "")
+        model = boosting.fit(df, "features", {"a": "y0", "b": "y1"}, s, F.col("id") % 4 == 0, report=report)
+        found.append((model, report, len(jobs.getJobIdsForGroup(f"way{k}"))))
+    spark.sparkContext._jsc.clearJobGroup()
+    shape = lambda m: [[(t.feature, t.bin, t.left, t.right) for t in trees] for trees in m.trees]
+    assert shape(found[0][0])[0] and all(shape(m) == shape(found[0][0]) for m, _, _ in found[1:])
+    for m, report, _ in found[1:]:
+        assert np.allclose(m.margins(m.code(x)), found[0][0].margins(m.code(x)), atol=1e-9)
+        assert np.allclose(np.array(report, float), np.array(found[0][1], float), atol=1e-9)
+    assert found[0][2] < found[1][2] - 10 < found[2][2]
