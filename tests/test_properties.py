@@ -265,3 +265,18 @@ def test_hashes_equal_sparks(spark):
     low = np.fmod(x, 100003).astype(np.int32)
     once = similarity.xxhash64(x)
     assert [tuple(r) for r in got] == list(zip(once.tolist(), similarity.xxhash64(np.array([9], np.int32), once).tolist(), similarity.xxhash64(low).tolist()))
+
+
+def test_rounds_of_relation_labels_leave_only_counts(spark):
+    """Also with null ends and nodes without edges, as the joins of all rounds had them."""
+    from sievespark.sources import stage
+
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "a", None), (2, "x", "x"), (None, "a", "b")], "graph int, src string, dst string")
+    nodes = spark.createDataFrame([(1, "a"), (1, "lonely"), (3, "z")], "graph int, node string")
+    before = set(stage._WRITTEN)
+    got = graphs.wl_labels(edges, nodes, rounds=2)
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(stage._WRITTEN) - before} == {"wl-counts"}
+    n = {}
+    for r in got.collect():
+        n[r["graph"], r["round"]] = n.get((r["graph"], r["round"]), 0) + r["n"]
+    assert n == {(1, 0): 4, (1, 1): 3, (1, 2): 3, (2, 0): 1, (2, 1): 1, (2, 2): 1, (3, 0): 1, (3, 1): 1, (3, 2): 1, (None, 0): 2}
